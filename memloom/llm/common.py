@@ -22,6 +22,8 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # shuffle files go when the query that wrote them ends; chains of written tables need none of them
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, secrets, wavelet
+from . import exact, minhash, mixing, packing, secrets, substring, wavelet
 from .common import prepare, table
 
 
@@ -27,6 +27,14 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir, "source"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), least=(85, 100))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(_docs(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(_docs(spark, sf_dir))
 
@@ -35,5 +43,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op3_exact_dedup, op5_source_mix, op9_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op3_exact_dedup, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op9_packing, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE}
