@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, minhash, mixing, packing, secrets, substring, wavelet
+from . import exact, html, minhash, mixing, neighbours, packing, quality, secrets, substring, wavelet
 from .common import prepare, table
 
 
@@ -19,10 +19,19 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_shards(_docs(spark, sf_dir))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neighbours.embedding_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_classes(_docs(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir, "source"))
 
@@ -35,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(_docs(spark, sf_dir))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_docs(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(_docs(spark, sf_dir))
 
@@ -43,5 +56,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op3_exact_dedup, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op9_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op2_nn_descent, op3_exact_dedup, op4_html_text, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op8_quality_scores, op9_packing, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE}
