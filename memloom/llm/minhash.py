@@ -214,5 +214,5 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
 
 def drop_near(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """The rows of ``docs`` (all columns) whose document stays; rows are told apart by doc_id."""
-    keep = near_duplicates(docs, least).where("kept").select(F.col("doc_id").alias("near_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("near_id")), "left_semi")
+    keep = near_duplicates(docs, least).where("kept").select(F.col("doc_id").alias("__near_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__near_id")), "left_semi")

@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def copies(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs``, all columns, as often as it is taken; doc_id identifies a row."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies"))
-    wide = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    again = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], again.alias("mix_copy")).drop("mix_copy")
+    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
+    wide = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    again = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
+    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], again.alias("__mix_copy")).drop("__mix_copy")
