@@ -51,7 +51,8 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def _units(column) -> np.ndarray:
-    q = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+    width = max(map(len, column))  # zeros behind shorter vectors, which never meet longer ones
+    q = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in map(bytes, column)), np.int8).reshape(len(column), width).astype(np.float32)
     return q / np.sqrt((q * q).sum(1, keepdims=True))
 
 
