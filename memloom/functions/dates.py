@@ -49,7 +49,12 @@ def resolve_relative(text: Column, anchor: Column) -> Column:
     Rules in order: yesterday, today, tomorrow; N days ago; last week; last weekend, N weekends ago; last or next
     weekday (never the anchor itself); last or next month; this month.
     """
-    t = F.trim(F.coalesce(text, F.lit("")))
+    # bound once in a lambda: generated code for all rules would be too long for one method
+    bound = F.array(F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("t"), anchor.alias("a")))
+    return F.get(F.transform(bound, lambda x: _resolve(x["t"], x["a"])), F.lit(0))
+
+
+def _resolve(t: Column, anchor: Column) -> Column:
     simple, ago = r"(?i)\b(yesterday|today|tomorrow)\b", rf"(?i)\b{_NUMBER}\s+days?\s+ago\b"
     week, weekend = r"(?i)\blast\s+week\b", rf"(?i)\b(?:last\s+weekend|{_NUMBER}\s+weekends?\s+ago)\b"
     day, month, this = rf"(?i)\b(last|next)\s+({_DAYS})\b", r"(?i)\b(last|next)\s+month\b", r"(?i)\bthis\s+month\b"

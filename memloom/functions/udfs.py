@@ -8,6 +8,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[a-zA-Z0-9']+")
@@ -27,9 +28,11 @@ def similarity(a: str | None, b: str | None) -> float:
     return max(SequenceMatcher(None, a, b).ratio(), share)
 
 
-@F.pandas_udf("double")
-def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+def similarity_udf(a: Column, b: Column) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def balanced_object(text: str | None) -> str:
@@ -106,14 +109,20 @@ def normalized_prediction(text: str | None) -> str:
     return raw
 
 
-def _text_udf(f):
-    @F.pandas_udf("string")
+def _mapped(f, c: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(f)
 
-    return run
+    return F.pandas_udf(run, "string")(c)
+
+
+def balanced_object_udf(c: Column) -> Column:
+    return _mapped(balanced_object, c)
+
+
+def repaired_json_udf(c: Column) -> Column:
+    return _mapped(repaired_json, c)
 
 
-balanced_object_udf = _text_udf(balanced_object)
-repaired_json_udf = _text_udf(repaired_json)
-normalized_prediction_udf = _text_udf(normalized_prediction)
+def normalized_prediction_udf(c: Column) -> Column:
+    return _mapped(normalized_prediction, c)
