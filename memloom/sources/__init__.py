@@ -1,0 +1 @@
+"""Readers and sinks: nested dialogue JSON, JSON lists, memory tables, traces, flat files."""
