@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact, html, minhash, mixing, neighbours, packing, quality, secrets, substring, wavelet
 from .common import prepare, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -57,4 +58,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op2_nn_descent, op3_exact_dedup, op4_html_text, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op8_quality_scores, op9_packing, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact.ORACLE}
