@@ -58,8 +58,8 @@ def _advance(user: str, state: dict, rows: list[dict]) -> list[dict]:
     for r in rows:
         state["waiting"].setdefault(int(r["session"]), []).append(r)
     out = []
-    # a session is complete once a fact of a later one is there
-    while state["waiting"] and max(state["waiting"]) > state["next"]:
+    # a session is complete once a fact of a later one is there too; without its own facts it is still to come
+    while state["next"] in state["waiting"] and max(state["waiting"]) > state["next"]:
         facts = sorted(state["waiting"].pop(state["next"], []), key=lambda f: f["arrival"])
         out += [{"user_id": user, "session": state["next"], **op} for op in fold_session(state["memory"], facts)]
         state["next"] += 1
