@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import exact, secrets
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -53,4 +53,37 @@ kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE gone.
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_nn_descent": EMBEDDINGS, "op3_exact_dedup": exact.ORACLE, "op5_source_mix": MIX, "op6_minhash_dedup": NEAR, "op7_substring_dedup": REPEATS}
+
+
+def _kind(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their places, from the gaps between them."""
+    p = pattern.replace("'", "''")
+    hits = f"(SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS vals, string_split_regex(t, '{p}') AS gaps FROM d)"
+    start = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
+    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, ({start})::BIGINT AS s, ({start} + length(hits[i]))::BIGINT AS e, vals[i] AS v FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {hits}) WHERE length(vals[i]) >= {least}"
+
+
+def _secrets() -> str:
+    base = " UNION ALL ".join(_kind(k, i, p, g, least) for i, (k, p, g, least) in enumerate(secrets.BASE))
+    allow = secrets.ALLOW.replace("'", "''")
+    steps, seen = [f"f0 AS MATERIALIZED ({base})"], "f0"
+    for i, (kind, pattern, _, window, bits) in enumerate(secrets.CLASSES, 1):
+        counts = "list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x))::DOUBLE)"
+        steps.append(
+            f"k{i} AS ({_kind(kind, len(secrets.BASE) + i - 1, pattern, 0, 0)}), g{i} AS (SELECT * FROM k{i} k WHERE NOT regexp_matches(v, '{allow}') AND NOT EXISTS (SELECT 1 FROM {seen} b WHERE b.doc_id = k.doc_id AND b.s < k.e AND k.s < b.e)), "
+            f"w{i} AS (SELECT * EXCLUDE (o), string_split(substr(v, o, {window}), '') AS c FROM (SELECT *, unnest(range(1, length(v) - {window - 2})) AS o FROM g{i})), "
+            f"f{i} AS MATERIALIZED (SELECT * FROM {seen} UNION ALL SELECT doc_id, rank, kind, s, e, v FROM w{i} GROUP BY ALL HAVING max(log2({window}) - list_sum(list_transform({counts}, lambda n: n * log2(n))) / {window}) >= {bits})"
+        )
+        seen = f"f{i}"
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    count = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in secrets.BASE)
+    names = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in secrets.BASE)
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(steps)}, b AS (SELECT doc_id, {count}, {text} AS x FROM f0 GROUP BY 1), a AS (SELECT doc_id, {text} AS x FROM {seen} GROUP BY 1) "
+        f"SELECT d.doc_id, {names}, sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id"
+    )
+
+
+SECRETS = _secrets()
+
+ORACLES: dict[str, str] = {"op2_nn_descent": EMBEDDINGS, "op3_exact_dedup": exact.ORACLE, "op5_source_mix": MIX, "op6_minhash_dedup": NEAR, "op7_substring_dedup": REPEATS, "op10_secret_scan": SECRETS}
