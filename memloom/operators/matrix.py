@@ -61,3 +61,47 @@ def is_retryable(status: Column, message: Column) -> Column:
     for word in ("timeout", "timed out", "connection", "rate limit", "overloaded"):
         hit = hit | low.contains(word)
     return hit
+
+
+def has_retrieval(found: Column, found_a: Column, found_b: Column, skipped: Column) -> Column:
+    """A record is searched if it has a global block, even an empty one, both speakers' blocks, or was skipped."""
+    return found.isNotNull() | (found_a.isNotNull() & found_b.isNotNull()) | F.coalesce(skipped, F.lit(False))
+
+
+def has_answer(predicted: Column) -> Column:
+    return predicted.isNotNull()
+
+
+def has_scores(*metrics: Column) -> Column:
+    out = F.lit(True)
+    for m in metrics:
+        out = out & m.isNotNull()
+    return out
+
+
+def filter_runs(runs: DataFrame, only_add: bool = False, only_search: bool = False, model: str | None = None, backend: str | None = None, repeat: int | None = None) -> DataFrame:
+    """Runs of the given kind; a backend filter leaves add runs in unless only searches are asked for."""
+    out = runs
+    if only_add:
+        out = out.where("is_add")
+    if only_search:
+        out = out.where("NOT is_add")
+    if model is not None:
+        out = out.where(F.col("model") == model)
+    if backend is not None:
+        out = out.where(F.col("is_add") | (F.col("backend") == backend))
+    if repeat is not None:
+        out = out.where(F.col("repeat") == repeat)
+    return out
+
+
+def first_half(units: DataFrame, index: str) -> DataFrame:
+    """The first max(1, n // 2) units by index, which counts from 0 without gaps."""
+    n = units.agg(F.count(F.lit(1)).alias("__n"))
+    return units.join(n).where(F.col(index) < F.greatest(F.lit(1), F.floor(F.col("__n") / 2))).drop("__n")
+
+
+def split_keys(text: str) -> list[str]:
+    """Distinct keys of a list parted by commas, semicolons or lines, in order."""
+    parts = text.replace(";", "\n").replace(",", "\n").split("\n")
+    return list(dict.fromkeys(p.strip() for p in parts if p.strip()))

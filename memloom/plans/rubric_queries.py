@@ -191,3 +191,34 @@ _CALLS = [(1, 429, ""), (2, 200, "ok"), (3, None, "Read Timed Out"), (4, 404, "m
 @query(f"SELECT id, coalesce(status IN (402, 403, 408, 409, 429, 500, 502, 503, 504), false) OR regexp_matches(lower(coalesce(message, '')), 'timeout|timed out|connection|rate limit|overloaded') AS retry FROM {duck_values(_CALLS, 'id, status, message')}")
 def retryable_errors(spark: SparkSession, d: str) -> DataFrame:
     return inline(spark, _CALLS, "id int, status int, message string").select("id", X.is_retryable(F.col("status"), F.col("message")).alias("retry"))
+
+
+@query("""SELECT count(*) AS records, count(*) FILTER (WHERE quality IS NOT NULL) AS searched, count(*) FILTER (WHERE quality IS NOT NULL AND d.doc_id % 3 > 0) AS answered, count(*) FILTER (WHERE quality IS NULL OR toxic IS NULL OR d.doc_id % 3 = 0) AS to_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def resume_state(spark: SparkSession, d: str) -> DataFrame:
+    """Which records each stage has still to do: a label stands for a retrieval block, two of three are answered."""
+    r = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    searched = X.has_retrieval(F.col("quality"), F.lit(None), F.lit(None), F.lit(None).cast("boolean"))
+    answered = searched & X.has_answer(F.when(F.col("doc_id") % 3 > 0, F.lit("a")))
+    scored = answered & X.has_scores(F.col("quality"), F.col("toxic"))
+    return r.agg(F.count(F.lit(1)).alias("records"), F.count_if(searched).alias("searched"), F.count_if(answered).alias("answered"), F.count_if(~scored).alias("to_score"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT run_id FROM runs WHERE model = 'm2' AND (is_add OR backend = 'rag') AND repeat = 1")
+def run_filter(spark: SparkSession, d: str) -> DataFrame:
+    return X.filter_runs(runs(spark), model="m2", backend="rag", repeat=1).select("run_id")
+
+
+@query("WITH c AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS n FROM c) SELECT conv_id FROM r WHERE idx < greatest(1, n // 2)")
+def first_half(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.evaluation import row_numbers
+
+    units = row_numbers(table(spark, d, "conversations").select("conv_id").distinct(), "conv_id").withColumnRenamed("rn", "idx")
+    return X.first_half(units, "idx").select("conv_id")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_add, count(*) FILTER (WHERE event_type = 'view') AS n_update, count(*) FILTER (WHERE event_type = 'error') AS n_none, count(*) FILTER (WHERE event_type = 'signup') AS n_ignored_delete FROM events GROUP BY 1")
+def delta_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.memory import delta_statistics as count_events
+
+    names = F.create_map(*[F.lit(x) for kv in (("click", "add"), ("view", "UPDATE"), ("error", "none"), ("signup", "DELETE")) for x in kv])
+    return count_events(table(spark, d, "events").select("user_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.lit("?")).alias("event")))
