@@ -79,12 +79,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     return plain.mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full shingle sets reach the similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``need(doc_id)``, written once for all comparisons."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(plain.join(need, "doc_id"), "texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return materialize(plain.hint("merge").join(need, "doc_id"), "texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose full shingle sets reach the similarity."""
+    both = pairs.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b")
 
     def run(frames: Iterator) -> Iterator:
         held: dict[int, np.ndarray] = {}  # the sets of the last frames' hubs
@@ -111,33 +114,74 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: tuple[int, int]) -> DataFr
     return both.mapInPandas(run, "a long, b long")
 
 
+def _common(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets p[k] and q[k]."""
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(sets) * len(every) <= 1 << 24:  # as rows of a matrix
+        has = np.zeros((len(sets), len(every)), np.float32)
+        has[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1
+        return (has @ has.T)[p, q].astype(np.int64)
+    return np.array([np.isin(sets[i], sets[j], assume_unique=True).sum() for i, j in zip(p, q)], np.int64)
+
+
 def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs of one bucket's rows from different components, of fitting sizes, that share two bands or more.
+    """Confirmed links between one bucket's rows from different components, as few as join the same rows.
 
-    ``members(key, rep, n, comp, bands)``. A bucket is dealt out as tiles of about TILE x TILE rows, and a pair comes
-    from the first bucket that it shares only; nothing but likely links leaves a tile.
+    ``members(key, rep, n, comp, bands, text)``. A bucket is dealt out as tiles of about TILE x TILE rows. A pair is
+    looked at in the first bucket that it shares only, if its sizes fit and it shares two bands or more, and is compared
+    on full sets in its tile; nothing but a spanning forest of links leaves a tile.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     m = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "n", "comp", "bands")
+    m = m.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "n", "comp", "bands", "text")
     m = m.repartition(parallelism(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def compare(g) -> Iterator:
-        rep, n, comp = g["rep"].to_numpy(), g["n"].to_numpy(), g["comp"].to_numpy()
+    def likely(g) -> Iterator:
+        n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
         bands, tile = np.stack(g["bands"].to_list()), g["tile"].to_numpy()
         at = int(np.flatnonzero(bands[0] == g["key"].iloc[0])[0])
         same = g["i"].iloc[0] == g["j"].iloc[0]
         for lo in range(0, len(g), 128):
             x = slice(lo, lo + 128)
             ok = (comp[x, None] != comp[None]) & (least[1] * np.minimum(n[x, None], n[None]) >= least[0] * np.maximum(n[x, None], n[None]))
-            ok &= (rep[x, None] < rep[None]) if same else (tile[x, None] != tile[None]) & (rep[x, None] < rep[None])
+            ok &= np.arange(lo, min(lo + 128, len(g)))[:, None] < np.arange(len(g))[None]  # rows are in order of rep
+            if not same:
+                ok &= tile[x, None] != tile[None]
             p, q = np.nonzero(ok)
             for k in range(0, len(p), 1 << 16):
                 a, b = p[k : k + (1 << 16)] + lo, q[k : k + (1 << 16)]
                 equal = bands[a] == bands[b]
                 first = (equal.sum(1) >= 2) & (equal.argmax(1) == at)
-                yield rep[a[first]], rep[b[first]]
+                if first.any():
+                    yield a[first], b[first]
+
+    def compare(g) -> list[tuple[int, int]]:
+        found = list(likely(g))
+        if not found:
+            return []
+        p, q = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        used, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+        p, q, raw, sets = place[: len(p)], place[len(p) :], W.utf8(g["text"].iloc[used]), []
+        for lo, hi in W.batches(raw):
+            words = W.split(raw[lo:hi], lower=True)
+            sets += [np.unique(h) for h in W.document_shingles(words, words.hashes(), SHINGLE)]
+        size = np.array([len(h) for h in sets])
+        common = _common(sets, p, q)
+        link = least[1] * common >= least[0] * (size[p] + size[q] - common)
+        rep, up, out = g["rep"].to_numpy()[used], list(range(len(used))), []
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b in zip(p[link].tolist(), q[link].tolist()):
+            a_root, b_root = root(a), root(b)
+            if a_root != b_root:
+                up[b_root] = a_root
+                out.append((rep[a], rep[b]))
+        return out
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -151,17 +195,12 @@ def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
             keys = rest[["key", "i", "j"]].to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             bounds = [0, *cut.tolist(), len(rest)]
-            out_a, out_b = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi == len(rest) and frame is not None:
-                    break  # may go on in the next frame
-                if hi - lo > 1:
-                    for a, b in compare(rest.iloc[lo:hi]):
-                        out_a.append(a)
-                        out_b.append(b)
-            rest = rest.iloc[bounds[-2] :] if frame is not None else None
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+            if frame is not None:
+                bounds.pop()  # the last tile may go on in the next frame
+            out = [link for lo, hi in zip(bounds[:-1], bounds[1:]) if hi - lo > 1 for link in compare(rest.iloc[lo:hi])]
+            rest = rest.iloc[bounds[-1] :] if frame is not None else None
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
     return m.mapInPandas(run, "a long, b long")
 
@@ -177,8 +216,8 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     1. Documents with equal shingle sets become one representative, the smallest doc_id, before anything is compared.
     2. Every bucket of two or more links its members to its smallest one, a star; links are confirmed on full sets.
     3. Buckets whose members the stars leave in different components may hide a link between two members that the
-       centre isn't like; there the members of different components are compared by their bands, tile by tile,
-       and likely links confirmed. So every pair that shares two bands ends in the component it belongs to.
+       centre isn't like; there the members of different components are compared by their bands and then on full
+       sets, tile by tile. So every pair that shares two bands ends in the component it belongs to.
     Documents without words link with nothing; so do rows with a null doc_id. Rows that share a doc_id are one node.
     """
     spark = docs.sparkSession
@@ -191,19 +230,17 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     centres = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(rows.join(centres.drop("size"), "key").select("key", "rep", "n", F.col("centre.rep").alias("hub"), F.col("centre.n").alias("hub_n")), "buckets")
+    texts = texts_of(docs, shared.select(F.col("rep").alias("doc_id")).distinct())
     fits = least[1] * F.least("n", "hub_n") >= least[0] * F.greatest("n", "hub_n")
     stars = materialize(shared.where((F.col("rep") != F.col("hub")) & fits).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = materialize(confirm(stars, docs, least), "links")
+    links = materialize(confirm(stars, texts, least), "links")
     parts = materialize(components(links), "parts")
 
     placed = shared.select("key", "rep", "n").join(parts.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(mixed, "key").join(reps.select("rep", "bands"), "rep")
-    pairs = materialize(_tiles(members, least), "pairs")
-    # what the stars have tried already has failed
-    pairs = pairs.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = confirm(materialize(pairs, "candidates"), docs, least)
+    members = placed.join(mixed.hint("merge"), "key").join(reps.select("rep", "bands").hint("merge"), "rep").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    more = materialize(_tiles(members, least), "more-links")
     final = components(links.union(more))
 
     placed = reps.join(final.toDF("rep", "component_id"), "rep", "left").select(F.col("n").alias("n_shingles"), "s1", "s2", F.coalesce("component_id", "rep").alias("c"))
