@@ -1,8 +1,9 @@
 """Exact token ids with a bounded per-worker memory of encoded chunks.
 
 Byte-pair tokenizers cut text into pieces before merging, and every piece boundary used here (before a
-single space or newline) is one of the tokenizer's own, so a chunk's ids don't depend on what surrounds it.
-The tokenizers library encodes each chunk that is not yet known; texts whose white space is unusual go to it whole.
+single space or newline, between letters and signs) is one of the tokenizer's own, so a chunk's ids don't depend on
+what surrounds it. The tokenizers library encodes each piece that is not yet known; texts whose white space is unusual
+go to it whole.
 """
 
 from __future__ import annotations
@@ -20,62 +21,73 @@ _PAIRS = ("  ", " \n", "\n ", "\n\n", "<|")
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
-class Encoder:
-    """``glued``: a space belongs to the chunk that follows it (byte-level); else white space is dropped."""
+#: Letters, and then signs but no apostrophe: two pieces (or one) in both vocabularies.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class Encoder(dict):
+    """Ids by chunk. ``glued``: a space belongs to the chunk that follows it (byte-level); else white space is dropped."""
 
     def __init__(self, path: str, glued: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.glued, self.known = Tokenizer.from_file(path), glued, {}
+        super().__init__()
+        self.tokenizer, self.glued, self.tails = Tokenizer.from_file(path), glued, {}
+        self.model = self.tokenizer.model
         self.newline = self._whole("\n")  # nothing where white space is dropped
-        self.marks = {m: self._whole(m) for m in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _words(self, chunk: str) -> list[tuple[str, bytes]]:
-        """A chunk's lines as (text, ids that follow): a full stop or comma after plain letters is a piece of its own."""
-        lines = chunk.split("\n")
-        if self.glued:
-            lines[0] = " " + lines[0]
-        out = []
-        for i, line in enumerate(lines):
-            after = self.newline if i + 1 < len(lines) else b""
-            if line[-1:] in self.marks and line[:-1].lstrip(" ").isalpha() and max(line) < "\u0130":
-                line, after = line[:-1], self.marks[line[-1]] + after
-            out.append((line, after))
+    def _piece(self, piece: str) -> bytes:
+        """One piece of letters: straight to the library's merges."""
+        if not self.glued:
+            piece = piece.lower()
+        return _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+
+    def _line(self, line: str, space: str) -> bytes:
+        m = _PLAIN.fullmatch(line)
+        if m is None:
+            return self._whole(space + line)
+        word, tail = m.groups()
+        if not tail:
+            return self._piece(space + word)
+        after = self.tails.get(tail)
+        if after is None:
+            after = self.tails[tail] = self._whole(tail)
+        return (self[word] if space or not self.glued else self._piece(word)) + after
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > CHUNKS:
+            self.clear()
+            self.tails.clear()
+        first, *more = chunk.split("\n")
+        space = " " if self.glued else ""
+        out = (self[first] if more else self._line(first, space)) + b"".join([self.newline + self._line(line, "") for line in more])
+        self[chunk] = out
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        parts = {c: self._words(c) for c in chunks}
-        texts = list(dict.fromkeys(t for p in parts.values() for t, _ in p))
-        one = dict(zip(texts, self._encode(texts)))
-        self.known.update((c, b"".join(one[t] + after for t, after in p)) for c, p in parts.items())
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _ODD.search(text) or any(p in text for p in _PAIRS):
             return self._whole(text)
+        if not self.glued:
+            return b"".join([self[c] for c in text.split(" ")])
         first, *chunks = text.split(" ")
-        if self.glued:
-            head = self._whole(first)
-        else:
-            head, chunks = b"", [first, *chunks]
-        known = self.known
-        try:
-            return head + b"".join([known[c] for c in chunks])
-        except KeyError:
-            # all of them if the memory is about to start anew
-            self._learn([c for c in dict.fromkeys(chunks) if c not in known or len(known) > CHUNKS])
-            return head + b"".join([known[c] for c in chunks])
+        return self._whole(first) + b"".join([self[c] for c in chunks])
 
 
 def _packed(ids: list[int]) -> bytes:

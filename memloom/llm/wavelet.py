@@ -216,10 +216,15 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 0, shard_t
     return materialize(ordered.mapInPandas(encode, "part int, shard int, n_tokens long, payload binary"), "wavelet")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Documents of written shards: (doc_id, start, n_tokens, ids), start counting the ids of all documents before."""
+def read_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
+    """Documents of written shards: (doc_id, start, n_tokens, ids), start counting the ids of all documents before.
+
+    With ``digest`` the crc32 of the ids as little-endian unsigned 32-bit integers stands in their place.
+    """
     prepare(shards.sparkSession)
 
+    read, kind = (zlib.crc32, "long") if digest else (bytes, "binary")
+
     def decode(frames: Iterator) -> Iterator:
         import pandas as pd
 
@@ -231,18 +236,17 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 starts = ends - lengths
                 for lo in range(0, len(doc_ids), 2000):
                     cut = slice(lo, lo + 2000)
-                    yield pd.DataFrame({"part": part, "shard": shard, "doc_id": pd.array(doc_ids[cut], "Int64"), "at": starts[cut], "n_tokens": lengths[cut], "ids": [ids[a:b].tobytes() for a, b in zip(starts[cut], ends[cut])]})
+                    yield pd.DataFrame({"part": part, "shard": shard, "doc_id": pd.array(doc_ids[cut], "Int64"), "at": starts[cut], "n_tokens": lengths[cut], "ids": [read(ids[a:b].tobytes()) for a, b in zip(starts[cut], ends[cut])]})
 
     # a row a shard, then a row a partition: the offsets are small at any size
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
     offsets = shards.select("part", "shard", inside.alias("shard_start")).join(before, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("base"))
-    docs = shards.select("part", "shard", "payload").mapInPandas(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids binary")
+    docs = shards.select("part", "shard", "payload").mapInPandas(decode, f"part int, shard int, doc_id long, at long, n_tokens long, ids {kind}")
     return docs.join(offsets, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def token_shards(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
     """Digest of the stored sequence, read back from the files: doc_id, start, n_tokens, ids_crc32."""
-    stored = read_shards(write_shards(docs, vocabulary(vocabulary_name)))
-    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_shards(write_shards(docs, vocabulary(vocabulary_name)), digest=True).withColumnRenamed("ids", "ids_crc32")
