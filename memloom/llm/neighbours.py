@@ -24,6 +24,8 @@ AUDIT, RECALL = 1024, 0.999
 #: Slack for the 8-bit vectors that the descent compares.
 NEAR = 0.03
 TILE = 512
+#: Numbers in a block of vectors that is compared with all others.
+BLOCK = 1 << 20
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -158,11 +160,55 @@ def _ending(frames: Iterator) -> Iterator:
     yield None
 
 
-def audit(nodes: DataFrame, graph: DataFrame, sample: int = AUDIT) -> tuple[int, int]:
-    """(links, found): exact links of a bounded sample of vectors with all others, and how many the graph connects.
+def _bridges(rows: DataFrame, asked: DataFrame) -> DataFrame | None:
+    """(a, b): parts that an exact link joins, from comparing ``asked`` with all ``rows(id, part, size, v)``, block by block."""
+    count, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first()
+    blocks, out = math.ceil(count * size / BLOCK), None
+    for at in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(blocks)) == at).select("part", "size", "v").collect()
+        known = {s: (np.array([r.part for r in some if r["size"] == s]), np.stack([np.frombuffer(r.v) for r in some if r["size"] == s])) for s in {r["size"] for r in some}}
 
-    A link counts as found if a path of links in the graph's lists joins its ends, which is what the tiles need.
+        def run(frames: Iterator, known: dict = known) -> Iterator:
+            import pandas as pd
+
+            for frame in frames:
+                for size, part in frame.groupby("size"):
+                    if size in known:
+                        theirs, x = known[size]
+                        mine, y = part["part"].to_numpy(), np.stack([np.frombuffer(v) for v in part["v"]])
+                        i, j = np.nonzero((y @ x.T >= LINK) & (mine[:, None] != theirs[None]))
+                        yield pd.DataFrame({"a": mine[i], "b": theirs[j]}).drop_duplicates()
+
+        found = materialize(rows.mapInPandas(run, "a long, b long").distinct(), "bridges")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _parts(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, part) of every vector that the graph's links or the exact links of saturated lists join to another.
+
+    A list that is full of links may have lost others, all of them to other groups if its own is large. The
+    vectors of such lists are compared with every vector outside their part.
     """
+    parts = materialize(components(graph.where(F.col("sim") >= LINK - NEAR)).toDF("id", "part"), "parts")
+    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).where((F.col("n") >= SATURATED) & (F.col("least") >= LINK - NEAR))
+    rows = materialize(nodes.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "size", "v"), "rows")
+    joined = _joined(parts, _bridges(rows, rows.join(full.select(F.col("a").alias("id")), "id", "left_semi")))
+    discard(rows)
+    return joined
+
+
+def _joined(parts: DataFrame, bridges: DataFrame | None) -> DataFrame:
+    if bridges is None or bridges.isEmpty():
+        return parts
+    more = materialize(components(parts.toDF("a", "b").union(bridges)).toDF("id", "part"), "parts")
+    discard(parts)
+    discard(bridges)
+    return more
+
+
+def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> tuple[int, int]:
+    """(links, found): exact links of a bounded sample of vectors with all others, and how many have both ends in one part."""
     asked = nodes.orderBy(F.xxhash64("id", F.lit(5))).limit(sample).select("id", "size", "v").collect()
     known = {s: (np.array([r.id for r in asked if r.size == s]), np.stack([np.frombuffer(r.v) for r in asked if r.size == s])) for s in {r["size"] for r in asked}} if asked else {}
 
@@ -179,16 +225,14 @@ def audit(nodes: DataFrame, graph: DataFrame, sample: int = AUDIT) -> tuple[int,
                     yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
 
     true = materialize(nodes.select("id", "size", "v").mapInPandas(run, "a long, b long"), "audit")
-    groups = materialize(components(graph.where(F.col("sim") >= LINK - NEAR)), "groups")
-    met = true.join(groups.toDF("a", "x"), "a", "left").join(groups.toDF("b", "y"), "b", "left")
+    met = true.join(parts.toDF("a", "x"), "a", "left").join(parts.toDF("b", "y"), "b", "left")
     row = met.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("x") == F.col("y")).cast("int")), F.lit(0))).first()
-    for t in (true, groups):
-        discard(t)
+    discard(true)
     return row[0], row[1]
 
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """Neighbour lists of ``nodes(id, size, q)`` by NN-descent.
+def neighbour_parts(nodes: DataFrame) -> DataFrame:
+    """(id, part) of the vectors of ``nodes(id, size, q, v)`` that hang together with others, by NN-descent.
 
     Lists begin with what stands near in random orders. In a round each vector shows its neighbours (and those that
     name it) to each other, only if one of the two is fresh, and lists keep their best. The descent ends when the audit
@@ -203,10 +247,14 @@ def neighbour_graph(nodes: DataFrame) -> DataFrame:
         new = materialize(_lists(graph.select("a", "b", "sim", F.lit(False).alias("fresh")).union(more.withColumn("fresh", F.lit(True)))), "graph")
         discard(graph)
         graph = new
-        links, found = audit(nodes, graph) if turn >= 2 else (1, 0)
-        if found >= RECALL * links or not graph.where("fresh").head(1):
-            break
-    return graph
+        last = turn == ROUNDS or not graph.where("fresh").head(1)
+        if turn < 2 and not last:
+            continue
+        parts = _parts(graph, nodes)
+        links, found = audit(nodes, parts)
+        if last or found >= RECALL * links:
+            return parts
+        discard(parts)
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -259,8 +307,9 @@ def _tiles(members: DataFrame) -> DataFrame:
 def embedding_duplicates(rows: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, comparing all rows of ``rows(vec_id, embedding)``.
 
-    NN-descent finds which vectors hang together; every such part is then compared exactly, in tiles, in double
-    precision, which enlarges saturated lists as far as they go and drops what is below the threshold. Vectors of
+    NN-descent finds which vectors hang together, and vectors whose lists are saturated are compared with all outside
+    their part; every part is then compared exactly, in tiles, in double precision, which enlarges saturated lists as
+    far as they go and drops what is below the threshold. Vectors of
     different lengths and unusable ones (null, zero, null or non-finite components) link with nothing. Equal
     vectors are compared once and count as linked copies. Rows that repeat a vec_id are counted one by one.
     """
@@ -268,9 +317,7 @@ def embedding_duplicates(rows: DataFrame) -> DataFrame:
     prepare(spark)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     nodes = materialize(vectors(rows), "vectors")
-    graph = neighbour_graph(nodes)
-    parts = components(graph.where(F.col("sim") >= LINK - NEAR))
-    members = materialize(nodes.join(parts.toDF("id", "part"), "id").select("part", "id", "copies", "v"), "members")
+    members = materialize(nodes.join(neighbour_parts(nodes), "id").select("part", "id", "copies", "v"), "members")
     tiles = materialize(_tiles(members), "tiles")
     final = components(tiles.select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = tiles.groupBy("id").agg(F.sum("linked").alias("linked"))

@@ -359,3 +359,30 @@ def test_neighbours(spark):
     assert [tuple(got[1000 + i]) for i in range(8)] == [(1000 + i, 0, 1000 + i, True) for i in range(6)] + [(1006, 1, 1006, True), (1007, 1, 1006, False)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert neighbours.embedding_duplicates(empty).count() == 0
+
+
+def check_links(spark, x):
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    got = rows_of(neighbours.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
+    unit = np.stack(x) / np.linalg.norm(np.stack(x), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    want = brute_components(range(len(x)), np.argwhere(link).tolist())
+    assert [tuple(got[i]) for i in range(len(x))] == [(i, link[i].sum(), want[i], want[i] == i) for i in range(len(x))]
+    return link
+
+
+def tight_group(rnd, centre, n, inside=0.99):
+    noise = rnd.standard_normal((n, len(centre)))
+    noise -= np.outer(noise @ centre, centre)
+    return list(math.sqrt(inside) * centre + math.sqrt(1 - inside) * noise / np.linalg.norm(noise, axis=1, keepdims=True))
+
+
+def test_links_between_saturated_groups(spark):
+    """Two groups of more vectors than a list holds: lists fill with their own group, the links across must come all the same."""
+    rnd = np.random.default_rng(3)
+    one, side = np.linalg.qr(rnd.standard_normal((64, 2)))[0].T
+    other = 0.92 * one + math.sqrt(1 - 0.92**2) * side
+    x = tight_group(rnd, one, 300) + tight_group(rnd, other, 300) + list(rnd.standard_normal((200, 64)))
+    link = check_links(spark, x)
+    assert link[:300, 300:600].sum() > 60000
