@@ -19,7 +19,7 @@ K, SATURATED = 12, 48
 ORDERS, REACH, TAKE = 12, 8, 4
 #: Neighbours of neighbours that a vector takes from one list, and rounds at most.
 GAIN, ROUNDS = 4, 8
-#: Vectors of the audit sample, and the recall of links that ends the descent.
+#: Vectors of the audit sample, and the recall that ends the descent.
 AUDIT, RECALL = 1024, 0.999
 #: Slack for the 8-bit vectors that the descent compares.
 NEAR = 0.03
@@ -207,8 +207,11 @@ def _joined(parts: DataFrame, bridges: DataFrame | None) -> DataFrame:
     return more
 
 
-def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> tuple[int, int]:
-    """(links, found): exact links of a bounded sample of vectors with all others, and how many have both ends in one part."""
+def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> float:
+    """Recall of the parts: of the exact links that a bounded sample of vectors have with all others, the share inside one part.
+
+    Shares are means per vector, then over all vectors or over parts, whichever is less, so that no large group hides others.
+    """
     asked = nodes.orderBy(F.xxhash64("id", F.lit(5))).limit(sample).select("id", "size", "v").collect()
     known = {s: (np.array([r.id for r in asked if r.size == s]), np.stack([np.frombuffer(r.v) for r in asked if r.size == s])) for s in {r["size"] for r in asked}} if asked else {}
 
@@ -226,9 +229,11 @@ def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> tuple[int,
 
     true = materialize(nodes.select("id", "size", "v").mapInPandas(run, "a long, b long"), "audit")
     met = true.join(parts.toDF("a", "x"), "a", "left").join(parts.toDF("b", "y"), "b", "left")
-    row = met.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("x") == F.col("y")).cast("int")), F.lit(0))).first()
+    inside = F.coalesce(F.col("x") == F.col("y"), F.lit(False)).cast("double")
+    shares = met.groupBy("b", F.coalesce("y", "b").alias("part")).agg(F.avg(inside).alias("share")).groupBy("part").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("n"))
+    row = shares.agg(F.sum("share") / F.sum("n"), F.avg(F.col("share") / F.col("n"))).first()
     discard(true)
-    return row[0], row[1]
+    return 1.0 if row[0] is None else min(row)
 
 
 def neighbour_parts(nodes: DataFrame) -> DataFrame:
@@ -236,7 +241,8 @@ def neighbour_parts(nodes: DataFrame) -> DataFrame:
 
     Lists begin with what stands near in random orders. In a round each vector shows its neighbours (and those that
     name it) to each other, only if one of the two is fresh, and lists keep their best. The descent ends when the audit
-    finds the links connected or lists hardly change; while the audit is short, new random orders are mixed in.
+    finds the links connected; while it is short, new random orders are mixed in. If it still is after the last round,
+    or once lists don't change, all vectors are compared with those of other parts.
     """
     n = nodes.count()
     graph = materialize(_lists(_seeds(nodes, n, 0).withColumn("fresh", F.lit(True))), "graph")
@@ -251,9 +257,11 @@ def neighbour_parts(nodes: DataFrame) -> DataFrame:
         if turn < 2 and not last:
             continue
         parts = _parts(graph, nodes)
-        links, found = audit(nodes, parts)
-        if last or found >= RECALL * links:
+        if audit(nodes, parts) >= RECALL:
             return parts
+        if last:
+            rows = materialize(nodes.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "size", "v"), "rows")
+            return _joined(parts, _bridges(rows, rows))
         discard(parts)
 
 

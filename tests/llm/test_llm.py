@@ -386,3 +386,15 @@ def test_links_between_saturated_groups(spark):
     x = tight_group(rnd, one, 300) + tight_group(rnd, other, 300) + list(rnd.standard_normal((200, 64)))
     link = check_links(spark, x)
     assert link[:300, 300:600].sum() > 60000
+
+
+def test_short_audit_compares_the_rest(spark, monkeypatch):
+    """A hot group does not hide that links of small groups are missing, and lists that find nothing lose no links."""
+    rnd = np.random.default_rng(5)
+    x = tight_group(rnd, np.eye(64)[0], 200)
+    for i in range(1, 11):
+        x += tight_group(rnd, np.eye(64)[i], 2)
+    monkeypatch.setattr(neighbours, "_seeds", lambda *_: spark.createDataFrame([], "a long, b long, sim float"))
+    check_links(spark, x)
+    nodes = neighbours.vectors(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, e array<double>"))
+    assert neighbours.audit(nodes, spark.createDataFrame([(i, 0) for i in range(200)], "id long, part long")) < 0.5
