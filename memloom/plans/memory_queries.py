@@ -17,13 +17,13 @@ _FACT = "trim(substr(text, 1, 60))"
 def old_memories(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("doc_id % 40 < 20")
     none = F.lit("")
-    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.trim(F.substring("text", 1, 60)).alias("text"), F.lit("ADD").alias("event"), none.alias("anchor_time"), none.alias("event_anchor"), F.col("lang").alias("type"))
+    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), F.trim("text").alias("text"), F.lit("ADD").alias("event"), none.alias("anchor_time"), none.alias("event_anchor"), F.col("lang").alias("type"))
 
 
 def new_facts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("doc_id % 40 >= 20")
     kind = F.when(F.col("doc_id") % 3 == 0, "plan").otherwise("event")
-    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("arrival"), F.trim(F.substring("text", 1, 60)).alias("text"), kind.alias("type"), F.lit("2023-05-08").alias("anchor_time"))
+    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("arrival"), F.trim("text").alias("text"), kind.alias("type"), F.lit("2023-05-08").alias("anchor_time"))
 
 
 _DECIDE = f"""WITH o AS (SELECT source AS user_id, doc_id AS pos, {_FACT} AS text, list_distinct({words_sql(_FACT)}) AS ts FROM documents WHERE doc_id % 40 < 20 AND {_FACT} <> ''),
@@ -116,7 +116,7 @@ def top_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS user_id, turn AS session, coalesce(array_to_string(list(left(text, 8)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM conversations")
 def history_window(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("session"), F.substring("text", 1, 8).alias("text"))
+    s = table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("session"), "text")
     return M.history(s).select("user_id", "session", F.array_join("history", "|").alias("history"))
 
 
