@@ -182,9 +182,9 @@ def invalidate_embeddings(memories: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def snapshot_merge(output: DataFrame, old: DataFrame) -> DataFrame:
-    """Full snapshot: the model's rows (first of an id wins), then old rows whose id it left out."""
+    """Full snapshot: the model's rows, then old rows whose id it left out; in both, the first of an id wins."""
     first = F.row_number().over(Window.partitionBy("user_id", "id").orderBy("pos"))
-    new = output.withColumn("r", first).where("r = 1").drop("r")
+    new, old = (rows.withColumn("r", first).where("r = 1").drop("r") for rows in (output, old))
     both = new.withColumn("side", F.lit(0)).unionByName(old.join(new, ["user_id", "id"], "left_anti").withColumn("side", F.lit(1)))
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("side", "pos")) - 1).drop("side")
 

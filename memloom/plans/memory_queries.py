@@ -93,7 +93,7 @@ SELECT user_id, id, text, row_number() OVER (PARTITION BY user_id ORDER BY side,
 def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     new = docs.where("doc_id % 2 = 1").select(F.col("source").alias("user_id"), (F.col("doc_id") % 400).alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("text"))
-    old = docs.where("doc_id % 2 = 0 AND doc_id < 397").select(F.col("source").alias("user_id"), (F.col("doc_id") % 397).alias("id"), F.col("doc_id").alias("pos"), F.lit("old").alias("text"))
+    old = docs.where("doc_id % 2 = 0").select(F.col("source").alias("user_id"), (F.col("doc_id") % 397).alias("id"), F.col("doc_id").alias("pos"), F.lit("old").alias("text"))
     return M.snapshot_merge(new, old)
 
 

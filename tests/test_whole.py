@@ -49,3 +49,14 @@ def test_turns_are_returned_whole(run, spark):
     texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     for r in entry.queries()["retrieval_payload"](spark, SF).limit(20).collect():
         assert any(r.selected.startswith(f"{t}:{texts[c, t]}") for c, t in texts if c == r.conv_id)
+
+
+def test_snapshot_merges_every_old_row(run):
+    """Documents beyond id 397 take part; the first of an id wins on either side."""
+    ids = [1, 3, 396, 398, 800, 1190, 1192, 1194, 2001]
+    new, old = {}, {}
+    for i in ids:
+        (new if i % 2 else old).setdefault(i % 400 if i % 2 else i % 397, i)
+    want = [(k, "en") for k in sorted(new, key=new.get)] + [(k, "old") for k in sorted(old, key=old.get) if k not in new]
+    got = run("snapshot_merge", documents=([(i, "s", "en", "x") for i in ids], DOCS))
+    assert [(r.id, r.text) for r in sorted(got, key=lambda r: r.pos)] == want and [r.pos for r in sorted(got, key=lambda r: r.pos)] == list(range(len(want)))
