@@ -32,7 +32,7 @@ def bleu1(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_TOKENS.replace(metric_sql('memory') + ' AS p', metric_sql('memory') + ' AS r').replace(metric_sql('question') + ' AS r', metric_sql('question') + ' AS p')}, s AS (SELECT conv_id, turn, {_F1} AS f1, {_BLEU} AS bleu FROM o WHERE conv_id % 2 = 0) SELECT conv_id, max(f1) AS f1_score, max(bleu) AS bleu_score FROM s GROUP BY 1""")
 def best_of_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Each opening question as the prediction, all later turns as candidate answers."""
-    turns = turn_pairs(spark, d).where("conv_id % 2 = 0").groupBy("conv_id", "question").agg(F.collect_list("memory").alias("answers"))
+    turns = turn_pairs(spark, d).groupBy("conv_id", "question").agg(F.collect_list("memory").alias("answers"))
     records = turns.select("conv_id", "question", E.answer_candidates(F.col("answers"), F.array().cast("array<string>")).alias("candidates"))
     best = E.best_of(records, ["conv_id"], "question", "candidates")
     return best.select("conv_id", F.round("f1_score", 6).alias("f1_score"), F.round("bleu_score", 6).alias("bleu_score"))

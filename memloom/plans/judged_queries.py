@@ -70,7 +70,8 @@ def memory_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 AND l.doc_id IS NOT NULL THEN 0.0 ELSE 0.5 END AS llm_score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def reapply_empty_rule(spark: SparkSession, d: str) -> DataFrame:
     """Old files rescored by the empty-answer rule, and the changed scores patched into the report."""
-    labels = table(spark, d, "labels").where("doc_id % 5 = 0").select(F.col("doc_id").alias("conversation"), F.lit(0).alias("qa_index"), F.lit(" ").alias("predicted_answer"), F.lit(None).cast("string").alias("response"), F.lit(1.0).alias("llm_score"), F.lit(None).cast("double").alias("llm_score_judge"))
+    said = F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.lit("said"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("conversation"), F.lit(0).alias("qa_index"), said.alias("predicted_answer"), F.lit(None).cast("string").alias("response"), F.lit(0.5).alias("llm_score"), F.lit(None).cast("double").alias("llm_score_judge"))
     report = table(spark, d, "documents").select(F.col("doc_id").alias("conversation"), F.lit(0).alias("qa_index"), F.lit(0.5).alias("llm_score"))
     return J.patch_report(report, E.apply_empty_rule(labels)).select(F.col("conversation").alias("doc_id"), "llm_score")
 

@@ -60,3 +60,18 @@ def test_snapshot_merges_every_old_row(run):
     want = [(k, "en") for k in sorted(new, key=new.get)] + [(k, "old") for k in sorted(old, key=old.get) if k not in new]
     got = run("snapshot_merge", documents=([(i, "s", "en", "x") for i in ids], DOCS))
     assert [(r.id, r.text) for r in sorted(got, key=lambda r: r.pos)] == want and [r.pos for r in sorted(got, key=lambda r: r.pos)] == list(range(len(want)))
+
+
+def test_every_conversation_has_a_best_score(run, spark):
+    pairs = {r.conv_id for r in entry.queries()["token_f1"](spark, SF).collect()}
+    assert {r.conv_id for r in run("best_of_candidates")} == pairs and any(c % 2 for c in pairs)
+
+
+def test_every_label_is_rescored(run, monkeypatch):
+    from memloom.operators import judged
+
+    seen, patch = [], judged.patch_report
+    monkeypatch.setattr(judged, "patch_report", lambda report, scores: seen.append({r.conversation for r in scores.collect()}) or patch(report, scores))
+    documents = [(i, "s", "en", "x") for i in range(12)]
+    got = run("reapply_empty_rule", documents=(documents, DOCS), labels=([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int"))
+    assert seen == [set(range(10))] and {r.doc_id: r.llm_score for r in got} == {i: 0.0 if i in (0, 5) else 0.5 for i in range(12)}
