@@ -180,7 +180,7 @@ SELECT id, a AS anchor, CASE
  WHEN regexp_matches(t, '(?i)\blast\s+month\b') THEN strftime(a - INTERVAL 1 MONTH, '%Y-%m')
  WHEN regexp_matches(t, '(?i)\bthis\s+month\b') THEN strftime(a, '%Y-%m') ELSE '' END AS value FROM y""")
 def resolve_relative(spark: SparkSession, d: str) -> DataFrame:
-    anchors = table(spark, d, "orders").select("o_orderdate").distinct().orderBy("o_orderdate").limit(60).select(F.to_date("o_orderdate").alias("anchor"))
+    anchors = table(spark, d, "orders").select("o_orderdate").distinct().select(F.to_date("o_orderdate").alias("anchor"))
     found = dates.resolve_relative(F.col("t"), F.col("anchor"))
     return anchors.distinct().join(F.broadcast(inline(spark, _PHRASES, "id int, t string"))).select("id", "anchor", F.coalesce(found["value"], F.lit("")).alias("value"))
 

@@ -75,3 +75,10 @@ def test_every_label_is_rescored(run, monkeypatch):
     documents = [(i, "s", "en", "x") for i in range(12)]
     got = run("reapply_empty_rule", documents=(documents, DOCS), labels=([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int"))
     assert seen == [set(range(10))] and {r.doc_id: r.llm_score for r in got} == {i: 0.0 if i in (0, 5) else 0.5 for i in range(12)}
+
+
+def test_every_order_date_is_an_anchor(run, spark):
+    days = {str(r[0])[:10] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderdate").distinct().collect()}
+    got = run("resolve_relative")
+    assert len(days) > 60 and {str(r.anchor) for r in got} == days
+    assert len(got) == len(days) * len({r.id for r in got})
