@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: Lines of a window, and the text that a window needs for a surge where no element marks the article.
+#: Lines of a window, and the text outside of links that a window needs for a surge.
 LINES, SURGE = 3, 60
-#: Without such a mark, regions of text below this share of the longest are left out.
+#: Regions of text below this share of the longest are left out, except in an article or main element.
 SHARE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
@@ -99,15 +99,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Text between the surge and dive points of the lines' lengths, blocks joined by one space."""
-    found = lines(page or "")
-    marked = any(inside for *_, inside in found)
-    # where the page marks its article, lines outside count nothing and any text is a surge
-    size = np.array([(len(text) if inside else 0) if marked else length for text, length, inside in found], np.int64)
-    if not len(size):
-        return ""
-    least = 1 if marked else SURGE
+def _regions(size: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Lines between the surge and dive points of windows of ``size``."""
     sums = np.convolve(np.concatenate([size, np.zeros(LINES - 1, np.int64)]), np.ones(LINES, np.int64), "valid")
     regions, start = [], None
     for i, total in enumerate(sums.tolist()):
@@ -118,9 +111,28 @@ def main_text(page: str | None) -> str:
             start = None
     if start is not None:
         regions.append((start, len(size)))
+    return regions
+
+
+def main_text(page: str | None) -> str:
+    """Text between the surge and dive points of the lines' lengths, blocks joined by one space.
+
+    An article or main element decides instead, unless the regions have more text outside of it, as beside a teaser.
+    """
+    found = lines(page or "")
+    if not found:
+        return ""
+    size = np.array([length for _, length, _ in found], np.int64)
+    inside = np.array([x for *_, x in found], bool)
+    regions = _regions(size, SURGE)
     weight = [int(size[a:b].sum()) for a, b in regions]
-    keep = [r for r, w in zip(regions, weight) if marked or w >= SHARE * max(weight)]
-    return " ".join(text for a, b in keep for text, _, inside in found[a:b] if inside or not marked)
+    keep = [r for r, w in zip(regions, weight) if w >= SHARE * max(weight)]
+    # links of an article are its text, too
+    own = sum(len(text) for text, _, x in found if x)
+    beside = sum(int(size[a:b][~inside[a:b]].sum()) for a, b in keep)
+    if own and beside <= own:
+        return " ".join(text for text, _, x in found if x)
+    return " ".join(text for a, b in keep for text, *_ in found[a:b])
 
 
 def extract(pages: DataFrame) -> DataFrame:

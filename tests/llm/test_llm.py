@@ -398,3 +398,11 @@ def test_short_audit_compares_the_rest(spark, monkeypatch):
     check_links(spark, x)
     nodes = neighbours.vectors(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, e array<double>"))
     assert neighbours.audit(nodes, spark.createDataFrame([(i, 0) for i in range(200)], "id long, part long")) < 0.5
+
+
+def test_html_teaser():
+    """An article element that is a teaser does not replace the long text beside it."""
+    long = " ".join(f"word{i} of the long text." for i in range(40))
+    teaser = f"<body><div><p>{long}</p><p>{long}</p></div><article class=card><p>Read this next.</p></article></body>"
+    assert html.main_text(teaser).startswith(f"{long} {long}")
+    assert html.main_text(f"<body><div><p>aside</p></div><article><p>{long}</p></article></body>") == long
