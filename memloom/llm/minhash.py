@@ -128,7 +128,7 @@ def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Confirmed links between one bucket's rows from different components, as few as join the same rows.
 
     ``members(key, rep, n, comp, bands, text)``. A bucket is dealt out as tiles of about TILE x TILE rows. A pair is
-    looked at in the first bucket that it shares only, if its sizes fit and it shares two bands or more, and is compared
+    looked at in the first bucket that it shares only, if its sizes fit, and is compared
     on full sets in its tile; nothing but a spanning forest of links leaves a tile.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
@@ -152,7 +152,7 @@ def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
             for k in range(0, len(p), 1 << 16):
                 a, b = p[k : k + (1 << 16)] + lo, q[k : k + (1 << 16)]
                 equal = bands[a] == bands[b]
-                first = (equal.sum(1) >= 2) & (equal.argmax(1) == at)
+                first = equal[:, at] & (equal.argmax(1) == at)
                 if first.any():
                     yield a[first], b[first]
 
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     2. Every bucket of two or more links its members to its smallest one, a star; links are confirmed on full sets.
     3. Buckets whose members the stars leave in different components may hide a link between two members that the
        centre isn't like; there the members of different components are compared by their bands and then on full
-       sets, tile by tile. So every pair that shares two bands ends in the component it belongs to.
+       sets, tile by tile. So every pair that shares a band ends in the component it belongs to.
     Documents without words link with nothing; so do rows with a null doc_id. Rows that share a doc_id are one node.
     """
     spark = docs.sparkSession

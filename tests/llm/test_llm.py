@@ -406,3 +406,13 @@ def test_html_teaser():
     teaser = f"<body><div><p>{long}</p><p>{long}</p></div><article class=card><p>Read this next.</p></article></body>"
     assert html.main_text(teaser).startswith(f"{long} {long}")
     assert html.main_text(f"<body><div><p>aside</p></div><article><p>{long}</p></article></body>") == long
+
+
+def test_minhash_tiles_one_band(spark):
+    """A pair that shares one band only is compared in that band's bucket, and in no other."""
+    text = " ".join(f"w{i}" for i in range(40))
+    for at in (0, 9):
+        bands = [[100 * r + b if b != at else 7 for b in range(minhash.BANDS)] for r in (1, 2)]
+        rows = [(7, r, 36, r, bands[r - 1], text) for r in (1, 2)]
+        members = spark.createDataFrame(rows, "key long, rep long, n int, comp long, bands array<long>, text string")
+        assert [tuple(sorted(x[:2])) for x in minhash._tiles(members, minhash.LEAST).collect()] == [(1, 2)]
