@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import heapq
-import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .tokens import encoder, vocabulary
+from .tokens import encoded, encoder, vocabulary
 
 CAPACITY = 4096
 #: Windows that are balanced together.
@@ -76,7 +75,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int =
     doc_ids are packed as they come; the order of sequences means nothing. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    end, room = struct.pack("<I", end_id), int(group * capacity * (1 - SLACK))
+    room = int(group * capacity * (1 - SLACK))
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -106,11 +105,11 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int =
             rows.clear()
             return out
 
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
-                ids = tokens.ids(text if isinstance(text, str) else "") + end
-                total, at = len(ids) // 4, 0
+        for some, every, length in encoded(frames, tokens, end_id):
+            raw, done = every.tobytes(), 0
+            for doc_id, total in zip(some, length.tolist()):
+                ids, at = raw[4 * done : 4 * (done + total)], 0
+                done += total
                 while total - at >= capacity:
                     close([(doc_id, at, ids[4 * at : 4 * (at + capacity)], total)])
                     at += capacity

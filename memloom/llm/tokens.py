@@ -3,7 +3,7 @@
 Byte-pair tokenizers cut text into pieces before merging, and every piece boundary used here (before a
 single space or newline, between letters and signs) is one of the tokenizer's own, so a chunk's ids don't depend on
 what surrounds it. The tokenizers library encodes each piece that is not yet known; texts whose white space is unusual
-go to it whole.
+go to it whole. (The library's merges alone take words of letters only; see ``_PLAIN``.)
 """
 
 from __future__ import annotations
@@ -12,12 +12,21 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept; then the memory starts anew.
 CHUNKS = 1_000_000
-#: White space other than space and newline, and characters that may be white space to only one of the two sides.
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_PAIRS = ("  ", " \n", "\n ", "\n\n", "<|")
+#: Characters of text that are encoded at a time.
+BATCH = 1 << 22
+#: Marks the chunk that begins a text; texts with this character go to the library whole.
+FIRST = "\x01"
+#: White space other than space and newline, characters that may be white space to only one of the two sides, and runs of
+#: white space (in the syntax of Arrow's expressions).
+_ODD = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]|  | \n|\n |\n\n|<\|"
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -36,7 +45,10 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class Encoder(dict):
-    """Ids by chunk. ``glued``: a space belongs to the chunk that follows it (byte-level); else white space is dropped."""
+    """Ids by chunk. ``glued``: a space belongs to the chunk that follows it (byte-level); else white space is dropped.
+
+    A chunk stands for itself behind a space; ``FIRST`` before it says that nothing, and a newline that a newline, is there.
+    """
 
     def __init__(self, path: str, glued: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,40 +66,93 @@ class Encoder(dict):
         """One piece of letters: straight to the library's merges."""
         if not self.glued:
             piece = piece.lower()
-        return _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))])
-
-    def _line(self, line: str, space: str) -> bytes:
-        m = _PLAIN.fullmatch(line)
-        if m is None:
-            return self._whole(space + line)
-        word, tail = m.groups()
-        if not tail:
-            return self._piece(space + word)
-        after = self.tails.get(tail)
-        if after is None:
-            after = self.tails[tail] = self._whole(tail)
-        return (self[word] if space or not self.glued else self._piece(word)) + after
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif piece[0] == " ":
+            piece = _BYTE_LETTERS[32] + piece[1:]
+        return _packed([t.id for t in self.model.tokenize(piece)])
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > CHUNKS:
             self.clear()
             self.tails.clear()
-        first, *more = chunk.split("\n")
-        space = " " if self.glued else ""
-        out = (self[first] if more else self._line(first, space)) + b"".join([self.newline + self._line(line, "") for line in more])
-        self[chunk] = out
+        mark = chunk[:1] if chunk[:1] in (FIRST, "\n") else ""
+        line = chunk[len(mark) :]
+        space = " " if self.glued and not mark else ""
+        m = _PLAIN.fullmatch(line)
+        if m is None:
+            out = self._whole(space + line)
+        elif not m[2]:
+            out = self[FIRST + line] if mark == "\n" else self._piece(space + line)
+        else:
+            after = self.tails.get(m[2])
+            if after is None:
+                after = self.tails[m[2]] = self._whole(m[2])
+            out = self[m[1] if space or not self.glued else FIRST + m[1]] + after
+        out = self[chunk] = self.newline + out if mark == "\n" else out
         return out
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text) or any(p in text for p in _PAIRS):
-            return self._whole(text)
-        if not self.glued:
-            return b"".join([self[c] for c in text.split(" ")])
-        first, *chunks = text.split(" ")
-        return self._whole(first) + b"".join([self[c] for c in chunks])
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.batch([text])[0].tobytes()
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text).
+
+        Chunks are told apart by Arrow's dictionary encoding, so each distinct one is looked up once a batch.
+        """
+        odd = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)).tolist()
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        if self.glued:
+            split = pa.array([FIRST + t.replace("\n", " \n") for t in plain], pa.large_string())
+        else:
+            split = pa.array([t.replace("\n", " ") for t in plain], pa.large_string())
+        split = pc.split_pattern(split, " ")
+        chunks = split.values.dictionary_encode()
+        known = [self[c] for c in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = chunks.indices.to_numpy()
+        length = size[at]
+        ids = _gathered(np.frombuffer(b"".join(known), "<u4"), (np.cumsum(size) - size)[at], length)
+        upto = np.concatenate([[0], np.cumsum(length)])[split.offsets.to_numpy()]
+        if not odd:
+            return ids, np.diff(upto)
+        parts = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        for i in odd:
+            parts[i] = np.frombuffer(self._whole(texts[i]), "<u4")
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[s : s + n] for all (s, n), one after the other."""
+    before = np.cumsum(length) - length
+    return flat[np.repeat(start - before, length) + np.arange(int(length.sum()))]
+
+
+def encoded(frames: Iterator, tokens: Encoder, end_id: int) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, lengths) of about ``BATCH`` characters at a time from frames (doc_id, text); each text ends with ``end_id``."""
+    doc_ids, texts, held = [], [], 0
+
+    def flush():
+        ids, length = tokens.batch(texts)
+        at = np.cumsum(length)
+        out = doc_ids[:], np.insert(ids, at, end_id).astype("<u4"), length + 1
+        doc_ids.clear()
+        texts.clear()
+        return out
+
+    for frame in frames:
+        for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
+            doc_ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
+            texts.append(text if isinstance(text, str) else "")
+            held += len(texts[-1])
+            if held >= BATCH:
+                yield flush()
+                held = 0
+    if texts:
+        yield flush()
 
 
 def _packed(ids: list[int]) -> bytes:
