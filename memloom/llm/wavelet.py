@@ -1,11 +1,13 @@
-"""Op 1. Token ids in wavelet-matrix shards: access, rank, select, counting and occurrence lookup on compressed bit planes.
+"""Op 1. Token ids in wavelet-matrix shards: access, rank, select, counting and occurrence lookup on one compressed file.
 
-A shard is one binary file: a header, the document table, and per bit of the largest id one plane of n bits with
-its rank directory. Shards are kept as a Parquet table of one row a shard (``part``, ``shard``, ``n_tokens``,
-``payload``), so Spark's own writers and readers carry them on any file system.
+A shard is one binary file: a header, the document table, and per bit of the largest id one plane of n bits, cut
+into blocks that are compressed one by one, with a directory of the ones before each block. A lookup inflates one
+or two blocks a plane and never the whole file. Shards are kept as a Parquet table of one row a shard (``part``, ``shard``,
+``n_tokens``, ``payload``), so Spark's own writers and readers carry them on any file system.
 
-File format (all little-endian): magic ``WMX1``; u32 levels, u64 tokens, u64 documents; per document i64 doc_id,
-u8 is-null, u64 tokens; per level u64 zeros, u64 words[ceil(n / 64)], u64 ranks[one per 8 words]. The whole is deflated by level.
+File format (all little-endian): magic ``WMX2``; u32 levels, u64 tokens, u64 documents, u64 bytes of the document table;
+the table (zstd frame): per document i64 doc_id, u8 is-null, u64 tokens; per level u64 zeros, u32 blocks, then per block
+u64 ones before it and u32 bytes of its frame, then the zstd frames (with checksums) of ``BLOCK`` bits each.
 """
 
 from __future__ import annotations
@@ -15,160 +17,177 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parallelism, prepare
-from .tokens import encoder, vocabulary
+from .tokens import encoded, encoder, vocabulary
 
 #: Ids after which a shard ends (with its current document).
 SHARD_TOKENS = 1 << 20
-_SUPER = 8  # words of 64 bits for each entry of the rank directory
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Bits of a block.
+BLOCK = 1 << 15
+#: Inflated blocks that a matrix keeps.
+HELD = 256
+
+
+class Plane:
+    """One level's bits in compressed blocks, with the ones before each block (and, last, of all)."""
+
+    def __init__(self, zeros: int, before: np.ndarray, blocks: list):
+        self.zeros, self.before, self.blocks = zeros, before, blocks
 
 
 class WaveletMatrix:
     """Succinct sequence of unsigned ids; rank and select per plane answer every query."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.zeros, self.planes, self.ranks = n, zeros, planes, ranks
+    def __init__(self, n: int, planes: list[Plane]):
+        self.n, self.planes, self.levels = n, planes, len(planes)
+        self._held: dict[tuple[int, int], bytes] = {}
+        self._inflate = zstandard.ZstdDecompressor()
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
-        ids = np.asarray(ids, np.uint32)
         levels = int(ids.max()).bit_length() if len(ids) else 0
-        zeros, planes, ranks = [], [], []
+        ids = ids.astype(np.uint16 if levels <= 16 else np.uint32)
+        deflate, planes = zstandard.ZstdCompressor(level=1, write_checksum=True), []
         for level in range(levels - 1, -1, -1):
-            bit = (ids >> np.uint32(level)) & np.uint32(1) == 1
+            bit = (ids & ids.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
-            words = np.zeros((len(ids) + 63) // 64 * 8, np.uint8)
-            words[: len(packed)] = packed
-            words = words.view("<u8")
-            planes.append(words)
-            ranks.append(cls._directory(words))
-            zeros.append(int(len(ids) - bit.sum()))
-            ids = np.concatenate([ids[~bit], ids[bit]])
-        return cls(len(ids), zeros, planes, ranks)
-
-    @staticmethod
-    def _directory(words: np.ndarray) -> np.ndarray:
-        ones = _BITS[words.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64)
-        before = np.concatenate([[0], np.cumsum(ones)])
-        return before[::_SUPER].astype("<u8")
+            blocks = [packed[i : i + BLOCK // 8] for i in range(0, len(packed), BLOCK // 8)]
+            ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64)
+            before = np.concatenate([[0], np.cumsum(ones)])
+            planes.append(Plane(len(ids) - int(before[-1]), before, [deflate.compress(b.tobytes()) for b in blocks]))
+            ids = np.concatenate([ids.compress(~bit), ids.compress(bit)])
+        return cls(len(ids), planes)
+
+    def _block(self, level: int, block: int) -> bytes:
+        raw = self._held.get((level, block))
+        if raw is None:
+            if len(self._held) >= HELD:
+                self._held.clear()
+            raw = self._held[level, block] = self._raw(self.planes[level].blocks[block])
+        return raw
+
+    def _raw(self, frame) -> bytes:
+        try:
+            return self._inflate.decompress(frame)
+        except zstandard.ZstdError as e:
+            raise ValueError("damaged wavelet shard") from e
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 6]) >> (i & 63) & 1
+        return self._block(level, i // BLOCK)[i % BLOCK >> 3] >> (i & 7) & 1
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before position i."""
-        word = i >> 6
-        block = word // _SUPER
-        total = int(self.ranks[level][block])
-        for w in range(block * _SUPER, word):
-            total += int(self.planes[level][w]).bit_count()
-        if i & 63:
-            total += (int(self.planes[level][word]) & ((1 << (i & 63)) - 1)).bit_count()
+        block, rest = divmod(i, BLOCK)
+        total = int(self.planes[level].before[block])
+        if rest:
+            head = int.from_bytes(self._block(level, block)[: rest + 7 >> 3], "little")
+            total += (head & ((1 << rest) - 1)).bit_count()
         return total
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) one or zero of a plane."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        before = self.planes[level].before
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(np.frombuffer(self._block(level, block), np.uint8), bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, zeros in enumerate(self.zeros):
+        for level, plane in enumerate(self.planes):
             bit, ones = self._bit(level, i), self._ones(level, i)
-            value, i = value << 1 | bit, zeros + ones if bit else i - ones
+            value, i = value << 1 | bit, plane.zeros + ones if bit else i - ones
         return value
 
-    def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
-        """How often ``token`` stands in positions start:stop."""
-        lo, hi = start, self.n if stop is None else stop
-        if token >> len(self.zeros):
-            return 0
-        for level, zeros in enumerate(self.zeros):
+    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the occurrences of ``token`` in positions lo:hi stand behind the last plane."""
+        for level, plane in enumerate(self.planes):
             a, b = self._ones(level, lo), self._ones(level, hi)
-            if token >> (len(self.zeros) - 1 - level) & 1:
-                lo, hi = zeros + a, zeros + b
+            if token >> (self.levels - 1 - level) & 1:
+                lo, hi = plane.zeros + a, plane.zeros + b
             else:
                 lo, hi = lo - a, hi - b
+        return lo, hi
+
+    def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
+        """How often ``token`` stands in positions start:stop."""
+        if token >> self.levels:
+            return 0
+        lo, hi = self._range(token, start, self.n if stop is None else stop)
         return max(0, hi - lo)
 
     def find(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of ``token``; -1 if there are fewer."""
-        if k < 0 or k >= self.count(token):
+        if k < 0 or token >> self.levels:
             return -1
-        at = 0
-        for level, zeros in enumerate(self.zeros):
-            ones = self._ones(level, at)
-            at = zeros + ones if token >> (len(self.zeros) - 1 - level) & 1 else at - ones
-        at += k
-        for level in range(len(self.zeros) - 1, -1, -1):
-            bit = token >> (len(self.zeros) - 1 - level) & 1
-            at = self._select(level, bit, at - self.zeros[level] if bit else at)
+        lo, hi = self._range(token, 0, self.n)
+        if k >= hi - lo:
+            return -1
+        at = lo + k
+        for level in range(self.levels - 1, -1, -1):
+            bit = token >> (self.levels - 1 - level) & 1
+            at = self._select(level, bit, at - self.planes[level].zeros if bit else at)
         return at
 
     def decode(self) -> np.ndarray:
         """The whole sequence, plane by plane from the last to the first."""
-        ids = np.zeros(self.n, np.uint32)
-        for level in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level].view(np.uint8), bitorder="little")[: self.n].astype(bool)
-            merged = np.empty(self.n, np.uint32)
-            merged[~bit], merged[bit] = ids[: self.zeros[level]], ids[self.zeros[level] :]
-            merged |= bit.astype(np.uint32) << np.uint32(len(self.zeros) - 1 - level)
+        ids = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
+        for level in range(self.levels - 1, -1, -1):
+            packed = np.frombuffer(b"".join(map(self._raw, self.planes[level].blocks)), np.uint8)
+            bit = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            order = np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])
+            merged = np.empty_like(ids)
+            merged[order] = ids
+            merged |= bit.astype(ids.dtype) << ids.dtype.type(self.levels - 1 - level)
             ids = merged
-        return ids
+        return ids.astype(np.uint32)
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     matrix = WaveletMatrix.build(ids)
-    table = b"".join(struct.pack("<q?Q", d or 0, d is None, n) for d, n in zip(doc_ids, lengths))
-    parts = [struct.pack("<4sIQQ", b"WMX1", len(matrix.zeros), len(ids), len(doc_ids)), _deflated(table)]
-    for zeros, plane, rank in zip(matrix.zeros, matrix.planes, matrix.ranks):
-        parts += [struct.pack("<Q", zeros), _deflated(plane.tobytes()), _deflated(rank.tobytes())]
+    table = zstandard.ZstdCompressor(level=1, write_checksum=True).compress(b"".join(struct.pack("<q?Q", d or 0, d is None, n) for d, n in zip(doc_ids, lengths)))
+    parts = [struct.pack("<4sIQQQ", b"WMX2", matrix.levels, len(ids), len(doc_ids), len(table)), table]
+    for plane in matrix.planes:
+        directory = np.empty(len(plane.blocks), _ENTRY)
+        directory["before"], directory["size"] = plane.before[:-1], [len(b) for b in plane.blocks]
+        parts += [struct.pack("<QI", plane.zeros, len(plane.blocks)), directory.tobytes(), *plane.blocks]
     return b"".join(parts)
 
 
-def _deflated(raw: bytes) -> bytes:
-    body = zlib.compress(raw, 1)
-    return struct.pack("<QI", len(body), zlib.crc32(raw)) + body
+_ENTRY = np.dtype([("before", "<u8"), ("size", "<u4")])
 
 
 def open_shard(payload: bytes) -> tuple[list[int | None], list[int], WaveletMatrix]:
-    """(doc_ids, lengths, matrix) of a shard file; ValueError if it is damaged."""
-    magic, levels, n, docs = struct.unpack_from("<4sIQQ", payload)
-    if magic != b"WMX1":
+    """(doc_ids, lengths, matrix) of a shard file, no plane inflated; ValueError if it is damaged, here or when a block is read."""
+    magic, levels, n, docs, size = struct.unpack_from("<4sIQQQ", payload)
+    if magic != b"WMX2":
         raise ValueError("not a wavelet shard")
-    at = struct.calcsize("<4sIQQ")
-
-    def take() -> bytes:
-        nonlocal at
-        size, crc = struct.unpack_from("<QI", payload, at)
-        at += 12
-        raw = zlib.decompress(payload[at : at + size])
-        at += size
-        if zlib.crc32(raw) != crc:
-            raise ValueError("damaged wavelet shard")
-        return raw
-
-    rows = list(struct.iter_unpack("<q?Q", take())) if docs else (take(), [])[1]
-    zeros, planes, ranks = [], [], []
+    at = struct.calcsize("<4sIQQQ")
+    try:
+        rows = list(struct.iter_unpack("<q?Q", zstandard.ZstdDecompressor().decompress(payload[at : at + size])))
+    except zstandard.ZstdError as e:
+        raise ValueError("damaged wavelet shard") from e
+    if len(rows) != docs:
+        raise ValueError("damaged wavelet shard")
+    at, view, planes = at + size, memoryview(payload), []
     for _ in range(levels):
-        zeros.append(struct.unpack_from("<Q", payload, at)[0])
-        at += 8
-        planes.append(np.frombuffer(take(), "<u8"))
-        ranks.append(np.frombuffer(take(), "<u8"))
-    return [None if null else d for d, null, _ in rows], [length for _, _, length in rows], WaveletMatrix(n, zeros, planes, ranks)
+        zeros, count = struct.unpack_from("<QI", payload, at)
+        at += 12
+        directory = np.frombuffer(payload, _ENTRY, count, at)
+        at += directory.nbytes
+        blocks = []
+        for length in directory["size"].tolist():
+            blocks.append(view[at : at + length])
+            at += length
+        planes.append(Plane(zeros, np.append(directory["before"].astype(np.int64), n - zeros), blocks))
+    return [None if null else d for d, null, _ in rows], [length for _, _, length in rows], WaveletMatrix(n, planes)
 
 
 def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -180,7 +199,6 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 0, shard_t
     """
     spark = docs.sparkSession
     prepare(spark)
-    end = struct.pack("<I", end_id)
 
     def encode(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -188,25 +206,30 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int = 0, shard_t
 
         part, shard = TaskContext.get().partitionId(), 0
         tokens = encoder(vocabulary_path, glued=True)
-        doc_ids, chunks, total = [], [], 0
+        doc_ids, lengths, chunks, total = [], [], [], 0
 
         def flush():
-            nonlocal shard
-            ids = np.frombuffer(b"".join(chunks), "<u4")
-            row = pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(ids)], "payload": [pack_shard(doc_ids, [len(c) // 4 for c in chunks], ids)]})
+            nonlocal shard, total
+            ids = np.concatenate(chunks)
+            row = pd.DataFrame({"part": [part], "shard": [shard], "n_tokens": [len(ids)], "payload": [pack_shard(doc_ids, lengths, ids)]})
             shard += 1
-            doc_ids.clear()
-            chunks.clear()
+            total = 0
+            for held in (doc_ids, lengths, chunks):
+                held.clear()
             return row
 
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
-                doc_ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
-                chunks.append(tokens.ids(text if isinstance(text, str) else "") + end)
-                total += len(chunks[-1]) // 4
+        for some, ids, length in encoded(frames, tokens, end_id):
+            ends, begin, at = np.cumsum(length), 0, 0
+            while begin < len(some):
+                # documents up to the one that fills the shard
+                end = min(len(some), int(np.searchsorted(ends, at + shard_tokens - total)) + 1)
+                doc_ids += some[begin:end]
+                lengths += length[begin:end].tolist()
+                chunks.append(ids[at : ends[end - 1]])
+                total += len(chunks[-1])
+                begin, at = end, int(ends[end - 1])
                 if total >= shard_tokens:
                     yield flush()
-                    total = 0
         if doc_ids:
             yield flush()
 
@@ -223,7 +246,7 @@ def read_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
     """
     prepare(shards.sparkSession)
 
-    read, kind = (zlib.crc32, "long") if digest else (bytes, "binary")
+    read, kind = (zlib.crc32, "long") if digest else (np.ndarray.tobytes, "binary")
 
     def decode(frames: Iterator) -> Iterator:
         import pandas as pd
@@ -236,7 +259,7 @@ def read_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
                 starts = ends - lengths
                 for lo in range(0, len(doc_ids), 2000):
                     cut = slice(lo, lo + 2000)
-                    yield pd.DataFrame({"part": part, "shard": shard, "doc_id": pd.array(doc_ids[cut], "Int64"), "at": starts[cut], "n_tokens": lengths[cut], "ids": [read(ids[a:b].tobytes()) for a, b in zip(starts[cut], ends[cut])]})
+                    yield pd.DataFrame({"part": part, "shard": shard, "doc_id": pd.array(doc_ids[cut], "Int64"), "at": starts[cut], "n_tokens": lengths[cut], "ids": [read(ids[a:b]) for a, b in zip(starts[cut], ends[cut])]})
 
     # a row a shard, then a row a partition: the offsets are small at any size
     sizes = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -105,8 +105,8 @@ def test_wavelet_matrix_queries():
                 assert m.find(t, k) == (where[k] if 0 <= k < len(where) else -1)
     bad = bytearray(wavelet.pack_shard([1], [3], np.array([1, 2, 3], np.uint32)))
     bad[-1] ^= 1
-    with pytest.raises((ValueError, zlib.error)):
-        wavelet.open_shard(bytes(bad))
+    with pytest.raises(ValueError):
+        wavelet.open_shard(bytes(bad))[2].decode()
 
 
 def test_token_shards(docs, none, texts):
