@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, secrets
+from . import exact
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -55,31 +55,47 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesc
 
 
 
-def _kind(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
-    """Matches of a pattern with their places, from the gaps between them."""
+# The patterns, classes and allow-list of the secret scan, written out once more for this check.
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_HELD = r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"
+_ALLOWED = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$|^/?([A-Za-z0-9_-]{1,15}/)+[A-Za-z0-9_-]{0,15}$"
+
+
+def _matches(source: str, text: str, pattern: str, group: int = 0) -> str:
+    """Rows of ``source`` with their matches (hits, vals) and the text between them (gaps)."""
     p = pattern.replace("'", "''")
-    hits = f"(SELECT doc_id, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS vals, string_split_regex(t, '{p}') AS gaps FROM d)"
+    return f"(SELECT doc_id, regexp_extract_all({text}, '{p}') AS hits, regexp_extract_all({text}, '{p}', {group}) AS vals, string_split_regex({text}, '{p}') AS gaps FROM {source})"
+
+
+def _placed(kind: str, rank: int, matches: str) -> str:
+    """Matches with their places, from the gaps between them."""
     start = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
-    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, ({start})::BIGINT AS s, ({start} + length(hits[i]))::BIGINT AS e, vals[i] AS v FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {hits}) WHERE length(vals[i]) >= {least}"
+    return f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, i, ({start})::BIGINT AS s, ({start} + length(hits[i]))::BIGINT AS e, vals[i] AS v FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {matches})"
+
+
+def _without(matches: str, gone: str) -> str:
+    """The texts of ``matches`` with spaces for the matches whose number i is ``gone``."""
+    return f"SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(hits) THEN '' WHEN {gone} THEN repeat(' ', length(hits[i])) ELSE hits[i] END), '') AS t FROM {matches}"
 
 
 def _secrets() -> str:
-    base = " UNION ALL ".join(_kind(k, i, p, g, least) for i, (k, p, g, least) in enumerate(secrets.BASE))
-    allow = secrets.ALLOW.replace("'", "''")
-    steps, seen = [f"f0 AS MATERIALIZED ({base})"], "f0"
-    for i, (kind, pattern, _, window, bits) in enumerate(secrets.CLASSES, 1):
+    steps = [f"a0 AS MATERIALIZED {_matches('d', 't', _ASSIGN, 2)}", f"f0 AS MATERIALIZED (SELECT * FROM ({_placed('assign', 0, 'a0')}) WHERE length(v) >= 8)"]
+    steps += [f"f{i} AS ({_placed(k, i, _matches('d', 't', p))})" for i, (k, p) in enumerate((("access", "AKIA[A-Z0-9]{12,}"), ("hex", "[0-9a-f]{32,}")), 1)]
+    steps.append(f"t3 AS MATERIALIZED ({_without('a0', 'length(vals[i]) >= 8')})")
+    for i, (kind, pattern, bits) in enumerate((("entropy_base64", "[A-Za-z0-9+/_=-]{24,}", 3.9), ("entropy_hex", "[0-9A-Fa-f]{24,}", 3.0)), 3):
         counts = "list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x))::DOUBLE)"
         steps.append(
-            f"k{i} AS ({_kind(kind, len(secrets.BASE) + i - 1, pattern, 0, 0)}), g{i} AS (SELECT * FROM k{i} k WHERE NOT regexp_matches(v, '{allow}') AND NOT EXISTS (SELECT 1 FROM {seen} b WHERE b.doc_id = k.doc_id AND b.s < k.e AND k.s < b.e)), "
-            f"w{i} AS (SELECT * EXCLUDE (o), string_split(substr(v, o, {window}), '') AS c FROM (SELECT *, unnest(range(1, length(v) - {window - 2})) AS o FROM g{i})), "
-            f"f{i} AS MATERIALIZED (SELECT * FROM {seen} UNION ALL SELECT doc_id, rank, kind, s, e, v FROM w{i} GROUP BY ALL HAVING max(log2({window}) - list_sum(list_transform({counts}, lambda n: n * log2(n))) / {window}) >= {bits})"
+            f"a{i} AS MATERIALIZED {_matches(f't{i}', 't', pattern)}, w{i} AS (SELECT * EXCLUDE (o), string_split(substr(v, o, 24), '') AS c FROM (SELECT *, unnest(range(1, length(v) - 22)) AS o FROM ({_placed(kind, i, f'a{i}')}) WHERE NOT regexp_matches(v, '{_HELD}') AND NOT regexp_matches(v, '{_ALLOWED}'))), "
+            f"f{i} AS MATERIALIZED (SELECT doc_id, rank, kind, i, s, e, v FROM w{i} GROUP BY ALL HAVING max(log2(24) - list_sum(list_transform({counts}, lambda n: n * log2(n))) / 24) >= {bits} - 1e-9), "
+            f"l{i} AS (SELECT doc_id, list(i) AS gone FROM f{i} GROUP BY 1), t{i + 1} AS MATERIALIZED ({_without(f'(SELECT a{i}.*, gone FROM a{i} LEFT JOIN l{i} ON a{i}.doc_id = l{i}.doc_id)', 'list_contains(gone, i)')})"
         )
-        seen = f"f{i}"
     text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
-    count = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in secrets.BASE)
-    names = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in secrets.BASE)
+    kinds = ("assign", "access", "hex")
+    count = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in kinds)
+    names = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)
+    base, every = (" UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(n)) for n in (3, 5))
     return (
-        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(steps)}, b AS (SELECT doc_id, {count}, {text} AS x FROM f0 GROUP BY 1), a AS (SELECT doc_id, {text} AS x FROM {seen} GROUP BY 1) "
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(steps)}, b AS (SELECT doc_id, {count}, {text} AS x FROM ({base}) GROUP BY 1), a AS (SELECT doc_id, {text} AS x FROM ({every}) GROUP BY 1) "
         f"SELECT d.doc_id, {names}, sha256(coalesce(b.x, '')) AS base_sha256, coalesce(a.x, '') AS spans FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN a ON d.doc_id = a.doc_id"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +13,45 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
-#: Character classes of the entropy scan: (kind, candidate pattern, alphabet, window, bits a character).
+#: Character classes of the entropy scan: (kind, candidate pattern, window, bits a character).
 CLASSES = (
-    ("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 3.9),
-    ("entropy_hex", r"[0-9A-Fa-f]{24,}", "0123456789ABCDEFabcdef", 24, 3.0),
+    ("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.9),
+    ("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0),
 )
 #: Candidates that are no secrets: without a digit or without a letter, identifiers with dashes of UUID form, and paths.
-ALLOW = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^/?([A-Za-z0-9_-]{1,15}/)+[A-Za-z0-9_-]{0,15}$"
+#: The groups are possessive, so that a long path is matched in a loop and not by recursion.
+ALLOW = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^/?(?:[A-Za-z0-9_-]{1,15}/)++[A-Za-z0-9_-]{0,15}$"
 
 
 #: Base kinds: (kind, pattern, group that holds the value, least length of the value).
 BASE = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 0), ("hex", HEX, 0, 0))
-_SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
+#: Rounding of sums of logarithms: entropies nearer than this to the bits reach them.
+ROUNDING = 1e-9
+#: Windows that one fold goes through.
+STRIDE = 96
+
 
+def _pieces(gaps: str, found: str, values: str) -> Column:
+    """The text as (gap, hit, value) of each match; what follows the last match is left out."""
+    return F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.col(found).alias("hit"), F.col(values).alias("value"))
 
-def spans(found: Column, values: Column, gaps: Column, kind: str, rank: int) -> Column:
+
+def spans(pieces: Column, kind: str, rank: int) -> Column:
     """Spans (start, rank, kind, end, value) of leftmost non-overlapping matches, in code points.
 
-    The text between the matches and the matches themselves make up the text, so their running lengths are the positions.
+    The text between the matches and the matches themselves make up the text, so their running lengths are the
+    positions. They are summed up in chunks of about the square root of their number, as an array that grows match by match
+    would be copied as often.
     """
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(pieces).cast("double"))).cast("int"))
+    whole = lambda x: F.length(x["gap"]) + F.length(x["hit"])
+    chunks = F.transform(F.sequence(F.lit(1), F.size(pieces), width), lambda i: F.slice(pieces, i, width))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + whole(x)))
+
+    def next_start(acc, n):
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    starts = F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), next_start)["out"]
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -38,75 +59,89 @@ def spans(found: Column, values: Column, gaps: Column, kind: str, rank: int) ->
         row = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    out = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.size(found) > 0, out).otherwise(none)
-
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    placed = F.transform(F.arrays_zip(chunks.alias("c"), starts.alias("at")), lambda z: F.aggregate(z["c"], F.struct(z["at"].alias("at"), none.alias("out")), step)["out"])
+    return F.when(F.size(pieces) > 0, F.flatten(placed)).otherwise(none)
 
-def peak_entropy(value: Column, alphabet: str, window: int) -> Column:
-    """Largest Shannon entropy, in bits a character, of any ``window`` consecutive characters of ``value``.
-
-    The fold's state is the count of each character in the window and the sum of c * log2(c); a step adds the
-    character that enters and takes off the one that leaves, and corrects the sum for these two only.
-    """
-    place = lambda i: F.call_function("instr", F.lit(alphabet), F.call_function("substring", value, i, F.lit(1)))
-    log = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
-    def change(n, s, at, by):
-        old = F.element_at(n, at)
-        return F.transform(n, lambda c, j: F.when(j == at - 1, c + by).otherwise(c)), s - log(old) + log(old + by)
+def _blanked(text: str, gaps: str, pieces: Column, found) -> Column:
+    """The text with spaces in place of the matches that are ``found``; places stay the same."""
+    parts = F.transform(pieces, lambda x: F.concat(x["gap"], F.when(found(x), F.repeat(F.lit(" "), F.length(x["hit"]))).otherwise(x["hit"])))
+    return F.when(F.size(pieces) > 0, F.concat(F.array_join(parts, ""), F.element_at(F.col(gaps), -1))).otherwise(F.col(text))
 
-    def fold(acc, i):
-        n, s = change(acc["n"], acc["s"], place(i), F.lit(1))
-        bits = F.log2(F.lit(float(window))) - s / window
-        peak = F.when(i >= window, F.greatest(acc["peak"], bits)).otherwise(acc["peak"])
-        # the window is full from its last character on: the first one leaves before the next enters
-        kept = F.struct(n.alias("n"), s.alias("s"), peak.alias("peak"))
-        less, s_less = change(kept["n"], kept["s"], place(F.greatest(i - window + 1, F.lit(1))), F.lit(-1))
-        return F.when(i >= window, F.struct(less.alias("n"), s_less.alias("s"), peak.alias("peak"))).otherwise(kept)
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("peak"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, fold)["peak"]
+def reaches(value: Column, window: int, bits: float) -> Column:
+    """Whether any ``window`` consecutive characters of ``value`` (ASCII) have a Shannon entropy of ``bits`` a character.
 
+    The entropy of a window is log2(window) less the sum of n * log2(n) over its counts n, by window. The sum is
+    carried along: the character that enters and the one that leaves change one count each, which is looked up in the
+    window's few characters. A fold goes over ``STRIDE`` windows, and the search ends with the first fold that finds one.
+    """
+    size = lambda n: n * math.log2(n) if n else 0.0
+    gain = F.array(*[F.lit(size(n + 1) - size(n)) for n in range(window)])  # of a count of n that becomes n + 1
+    most = window * (math.log2(window) - bits + ROUNDING)
 
-def _label(m: Column) -> Column:
-    return F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))
-
+    def search(block):
+        part = lambda at, n: F.call_function("substring", block, at, n)
+        count = lambda within, c: F.length(within) - F.length(F.replace(within, c, F.lit("")))
 
-def _long(spans_: str, least: int) -> Column:
-    return F.filter(spans_, lambda m: F.length(m["value"]) >= least)
+        def step(acc, i):
+            first = F.greatest(i - (window - 1), F.lit(1))  # of the window that ends with i
+            enters = acc["s"] + F.get(gain, count(part(first, i - first), part(i, F.lit(1))))
+            full = i >= window
+            leaves = enters - F.get(gain, count(part(first + 1, i - first), part(first, F.lit(1))))
+            low = F.when(full, F.least(acc["low"], enters)).otherwise(acc["low"])
+            return F.struct(F.when(full, leaves).otherwise(enters).alias("s"), low.alias("low"))
 
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(block)), start, step)["low"] <= most
 
-def _unlisted(spans_: str, found: str, allow: str) -> Column:
-    apart = lambda m: ~F.exists(found, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return F.filter(spans_, lambda m: ~m["value"].rlike(allow) & apart(m))
+    blocks = F.regexp_extract_all(value, F.lit(f".{{1,{STRIDE}}}"), F.lit(0))
+    # an array of one names the blocks, which would else be made anew for each of them
+    joined = lambda every: F.transform(every, lambda b, k: F.concat(b, F.coalesce(F.substring(F.get(every, k + 1), 1, window - 1), F.lit(""))))
+    return F.exists(F.array(blocks), lambda every: F.exists(joined(every), search))
 
 
-def _random(spans_: str, alphabet: str, window: int, bits: float) -> Column:
-    return F.filter(spans_, lambda m: peak_entropy(m["value"], alphabet, window) >= bits)
+def _label(m: Column) -> Column:
+    return F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))
 
 
 def scan(docs: DataFrame, classes=CLASSES, allow: str = ALLOW) -> DataFrame:
     """Spans of each document: doc_id, base and found, arrays of (start, rank, kind, end, value).
 
     ``base`` holds the fixed patterns' matches, whatever else is found. ``found`` adds candidate strings of each
-    character class whose peak entropy reaches the class's bits, which ``allow`` doesn't match and which touch no
-    base span nor a span of an earlier class. Null text is empty and gives no span; other columns are ignored.
+    character class that reach the class's bits in a window and that ``allow`` doesn't match. Candidates are looked for outside
+    of assign spans and of spans of the classes before; those that hold an access or hex match are left out, too. All
+    steps take time in proportion to the text (matches to the power 1.5), however long it or its matches are. Null
+    text is empty and gives no span; other columns are ignored.
     """
-    kinds = [(k, p, g, least, i) for i, (k, p, g, least) in enumerate(BASE)] + [(c[0], c[1], 0, 0, len(BASE) + i) for i, c in enumerate(classes)]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
     # in steps, so that no pattern runs twice over a text
-    d = d.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"hit{i}") for _, p, _, _, i in kinds])
-    some = lambda i: F.size(f"hit{i}") > 0
-    d = d.select("*", *[F.when(some(i), F.split("text", p, -1)).alias(f"gap{i}") for _, p, _, _, i in kinds], *[F.when(some(i), F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias(f"value{i}") for _, p, g, _, i in kinds if g])
-    d = d.select("doc_id", *[spans(F.col(f"hit{i}"), F.col(f"value{i}" if g else f"hit{i}"), F.col(f"gap{i}"), k, i).alias(f"m{i}") for k, _, g, _, i in kinds])
-    d = d.select("*", F.concat(*[_long(f"m{i}", least) for *_, least, i in kinds[: len(BASE)]]).alias("base"))
-    found = "base"
-    for (_, _, alphabet, window, bits), (*_, i) in zip(classes, kinds[len(BASE) :]):
-        d = d.withColumn(f"fresh{i}", _unlisted(f"m{i}", found, allow))
-        d = d.withColumn(f"all{i}", F.concat(found, _random(f"fresh{i}", alphabet, window, bits)))
-        found = f"all{i}"
-    return d.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(found).alias("found"))
+    def matched(d: DataFrame, text: str, pattern: str, group: int, i: int) -> DataFrame:
+        d = d.select("*", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(f"hit{i}"))
+        some = F.size(f"hit{i}") > 0
+        none = F.array().cast("array<string>")
+        d = d.select("*", F.when(some, F.split(text, pattern, -1)).otherwise(none).alias(f"gap{i}"), (F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col(f"hit{i}")).alias(f"value{i}"))
+        return d.select("*", _pieces(f"gap{i}", f"hit{i}", f"value{i}").alias(f"piece{i}")).drop(f"hit{i}", f"value{i}")
+
+    for i, (kind, pattern, group, least) in enumerate(BASE):
+        d = matched(d, "text", pattern, group, i)
+        d = d.withColumn(f"m{i}", F.filter(spans(F.col(f"piece{i}"), kind, i), lambda m: F.length(m["value"]) >= least))
+        if kind == "assign":
+            d = d.withColumn("open", _blanked("text", f"gap{i}", F.col(f"piece{i}"), lambda x: F.length(x["value"]) >= least))
+        d = d.drop(f"gap{i}", f"piece{i}")
+    held = "|".join(f"(?:{p})" for k, p, *_ in BASE if k != "assign")
+    for i, (kind, pattern, window, bits) in enumerate(classes, len(BASE)):
+        d = matched(d, "open", pattern, 0, i)
+        secret = lambda x: ~x["hit"].rlike(held) & ~x["hit"].rlike(allow) & reaches(x["hit"], window, bits)
+        judged = F.transform(F.col(f"piece{i}"), lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.when(secret(x), x["hit"]).alias("value")))
+        d = d.withColumn(f"piece{i}", judged)
+        d = d.withColumn(f"m{i}", F.filter(spans(F.col(f"piece{i}"), kind, i), lambda m: m["value"].isNotNull()))
+        d = d.withColumn("open", _blanked("open", f"gap{i}", F.col(f"piece{i}"), lambda x: x["value"].isNotNull())).drop(f"gap{i}", f"piece{i}")
+    base = [f"m{i}" for i in range(len(BASE))]
+    every = [f"m{i}" for i in range(len(BASE) + len(classes))]
+    return d.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.array_sort(F.concat(*every)).alias("found"))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
