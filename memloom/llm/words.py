@@ -9,13 +9,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
-#: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes from which a word is hashed by itself.
+LONG = 512
+#: Two independent families of hashes.
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STEPS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,19 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _tables[base] = (out[0], out[1])
-    return have
-
-
 @dataclass
 class Words:
     """Words of a batch: byte spans in ``buf`` and for document i the words first[i]:first[i + 1]."""
@@ -50,19 +40,23 @@ class Words:
     first: np.ndarray
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        out = np.empty(len(self.start), U64)
-        base = _BASES[family]
-        i, n = 0, len(self.start)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + BLOCK, "right")))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            up, down = _powers(base, max(BLOCK, hi - lo) + 1)
-            sums = np.zeros(hi - lo + 1, U64)
-            np.cumsum((self.buf[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=sums[1:])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(_STEPS[family]))
-            i = j
+        """A 64-bit hash of each word: its length and its bytes, eight at a time, each step mixed.
+
+        Mixing isn't linear, so no pattern of letters makes words collide as it does for sums of powers.
+        """
+        length = self.end - self.start
+        out = mix(length.astype(U64) * U64(_STEPS[family]) + U64(_SEEDS[family]))
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        for i in np.flatnonzero(length > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.buf[self.start[i] : self.end[i]].tobytes(), _SEEDS[family])
+        at = np.flatnonzero(length <= LONG)
+        begin, left, h = self.start[at], length[at], out[at]
+        while len(at):
+            h = mix((h ^ (eight[begin] & _BYTES[np.minimum(left, 8)])) * U64(_STEPS[family]) + U64(_SEEDS[family]))
+            out[at] = h
+            more = left > 8
+            at, begin, left, h = at.compress(more), begin.compress(more) + 8, left.compress(more) - 8, h.compress(more)
         return out
 
     def text(self, doc: int, keep: np.ndarray | None = None) -> bytes:
@@ -91,15 +85,16 @@ def shingles(word_hash: np.ndarray, k: int, family: int = 0) -> np.ndarray:
     n = len(word_hash) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    step, out, done, power, width = _STEPS[family], None, 0, word_hash, 1
+    pair = lambda x, y: mix((x ^ (y >> U64(29))) * U64(_STEPS[family]) + y)
+    out, done, power, width = None, 0, word_hash, 1
     while True:  # doubling: hashes of 1, 2, 4 ... words combine to k
         if k & width:
             part = power[done : done + n]
-            out = part.copy() if out is None else out * U64(pow(step, width, 1 << 64)) + part
+            out = part.copy() if out is None else pair(out, part)
             done += width
         if width * 2 > k:
-            return mix(out)
-        power = power[:-width] * U64(pow(step, width, 1 << 64)) + power[width:]
+            return mix(out + U64(k))
+        power = pair(power[:-width], power[width:])
         width *= 2
 
 

@@ -71,6 +71,27 @@ def rows_of(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word over two letters whose polynomial hashes modulo 2**64 equal its complement's, whatever the base."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_structured_words_are_told_apart(spark):
+    """Words and word sequences that sums of powers can't tell apart: nothing is removed, nothing is linked."""
+    for n in (64, 256, 1024, 4096):
+        one, two = thue_morse(n), thue_morse(n, "b", "a")
+        w = W.split(W.utf8([one, two]))
+        for family in (0, 1):
+            assert len(set(w.hashes(family).tolist())) == 2
+        texts = [" ".join([x] * 30) for x in (one, two)] + [" ".join(x) for x in (thue_morse(1024), thue_morse(1024, "b", "a"))]
+    rows = spark.createDataFrame([(0, texts[0]), (1, texts[1])], "doc_id long, text string")
+    assert [r.component_id for r in sorted(minhash.near_duplicates(rows).collect())] == [0, 1]
+    assert [(r.doc_id, r.n_removed) for r in sorted(substring.repeated_windows(rows).collect())] == [(0, 29), (1, 29)]
+    for k in (16, 20, 64):  # as sequences of words
+        h = W.split(W.utf8(texts[2:])).hashes()
+        assert len(set(W.shingles(h, k).tolist())) == len({tuple(x) for t in [texts[2].split() + texts[3].split()] for x in (t[i : i + k] for i in range(len(t) - k + 1))})
+
+
 def test_word_hashes_agree_with_words():
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice("a bb ccc dd1 Été".split()) for _ in range(rnd.randint(0, 60))) for _ in range(200)] + ["y" * 3_000_000]
