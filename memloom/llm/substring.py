@@ -3,8 +3,8 @@
 A repeated passage is judged by windows of 20 words. The index holds fingerprints of 10 words, of every window the
 least of its eleven (winnowing), so two equal windows always share a fingerprint while one word in six is stored.
 A run has a row per fingerprint and document, sorted by fingerprint, and is never changed; a new batch is
-merge-joined with the runs, hits are verified window by window on the documents themselves, and runs are merged
-into one when there are too many.
+merge-joined with the runs, hits are verified window by window on the documents themselves, and before a batch
+meets too many runs, these are merged into one.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from .common import discard, materialize, parallelism, prepare
 
 WINDOW = 20
 GRAM = 10
-#: Runs above which they are compacted.
-FANOUT = 2
+#: Runs that a new batch finds at most; more are compacted first.
+FANOUT = 1
 #: Batches that a whole table is fed in.
-BATCHES = 2
+BATCHES = 3
+#: A key is heavy above this part of all rows, so there are fewer heavy keys than this: these are broadcast.
+HEAVY = 512
 
 _U = np.uint64
 
@@ -67,13 +69,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def windows_of(hits: DataFrame) -> DataFrame:
-    """(w1, w2, new, doc_id, pos): the windows of ``hits(doc_id, new, text, fps)`` whose fingerprint is in the array fps."""
+    """(doc_id, new, all_pos, pos, w1, w2) of ``hits(doc_id, new, text, fps)``: windows whose fingerprint is in the array fps.
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+    all_pos has the starts of all these windows; the other arrays have a window that a document repeats once, at its first start.
+    """
 
-        for frame in frames:
-            texts, ids, new = W.utf8(frame["text"]), frame["doc_id"].to_numpy(np.int64), frame["new"].to_numpy(bool)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, ids, new = W.utf8(batch.column("text").to_pylist()), batch.column("doc_id").to_numpy(), batch.column("new").to_numpy(zero_copy_only=False)
+            fps, cuts = batch.column("fps").values.to_numpy(), batch.column("fps").offsets.to_numpy()
             for lo, hi in W.batches(texts):
                 words = W.split(texts[lo:hi])
                 h = words.hashes()
@@ -82,13 +88,32 @@ def windows_of(hits: DataFrame) -> DataFrame:
                 ok = np.zeros(len(start), bool)
                 for i in range(hi - lo):
                     a, b = bounds[i], bounds[i + 1]
-                    ok[a:b] = np.isin(fp[a:b].view(np.int64), frame["fps"].iloc[lo + i])
+                    ok[a:b] = np.isin(fp[a:b].view(np.int64), fps[cuts[lo + i] : cuts[lo + i + 1]])
                 start, doc = start[ok], doc[ok]
-                if len(start):
-                    w1, w2 = W.shingles(h, WINDOW)[start], W.shingles(words.hashes(1), WINDOW, 1)[start]
-                    yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "new": new[lo:hi][doc], "doc_id": ids[lo:hi][doc], "pos": (start - words.first[doc]).astype(np.int32)})
-
-    return hits.mapInPandas(run, "w1 long, w2 long, new boolean, doc_id long, pos int")
+                w1, w2 = (W.shingles(h, WINDOW)[start], W.shingles(words.hashes(1), WINDOW, 1)[start]) if len(start) else (np.empty(0, _U), np.empty(0, _U))
+                pos = (start - words.first[doc]).astype(np.int32)
+                key = w1 ^ W.mix(doc.astype(_U))
+                order = np.argsort(key, kind="stable")
+                same = (key[order[1:]] == key[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                first = np.ones(len(start), bool)
+                first[order[1:][same]] = False
+                docs = np.arange(hi - lo + 1)
+                whole, once = np.searchsorted(doc, docs).astype(np.int32), np.searchsorted(doc[first], docs).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(whole, pos)] + [pa.ListArray.from_arrays(once, x[first]) for x in (pos, w1.view(np.int64), w2.view(np.int64))]
+                yield pa.record_batch([pa.array(ids[lo:hi]), pa.array(new[lo:hi]), *lists], names=["doc_id", "new", "all_pos", "pos", "w1", "w2"])
+
+    return hits.select("doc_id", "new", "text", "fps").mapInArrow(run, "doc_id long, new boolean, all_pos array<int>, pos array<int>, w1 array<long>, w2 array<long>")
+
+
+def _matching(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """Rows whose fp is in ``keys(fp, n)``, n being the rows that have it, of ``total`` rows.
+
+    Keys that more than a part in ``HEAVY`` of all rows have are fewer than ``HEAVY``; they are broadcast, so that no task gets all
+    rows of a hot key.
+    """
+    heavy = F.broadcast(keys.where(F.col("n") > total / HEAVY).select("fp"))
+    light = keys.where(F.col("n") <= total / HEAVY).select("fp")
+    return rows.join(heavy, "fp", "left_semi").union(rows.join(heavy, "fp", "left_anti").join(light.hint("merge"), "fp", "left_semi"))
 
 
 class RunIndex:
@@ -108,30 +133,38 @@ class RunIndex:
         Earlier means in a former batch, or in this one with a smaller doc_id or, in the same document, start.
         Former batches are never judged again. doc_id must not be null and tells documents apart.
         """
+        if len(self.runs) > self.fanout:
+            self.compact()
         run = self._write(fingerprints(docs), "run")
-        stats = run.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("many"), F.max("twice").alias("twice"))
+        stats = run.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
         old = self._old()
         if old is not None:
-            seen = old.groupBy("fp").agg(F.lit(True).alias("seen"))
+            seen = old.groupBy("fp").agg(F.count(F.lit(1)).alias("n_old"))
             stats = stats.join(seen.hint("merge"), "fp", "left")
         else:
-            stats = stats.withColumn("seen", F.lit(None).cast("boolean"))
-        stats = materialize(stats.where("many OR twice OR seen").select("fp", F.coalesce("seen", F.lit(False)).alias("seen")), "repeated")
-        hits = run.join(stats, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
-        found = windows_of(docs.join(hits, "doc_id").select("doc_id", F.lit(True).alias("new"), "text", "fps"))
+            stats = stats.withColumn("n_old", F.lit(None).cast("long"))
+        stats = materialize(stats.where("n > 1 OR twice OR n_old > 0").select("fp", "n", "n_old"), "repeated")
+        hits = _matching(run.select("fp", "doc_id"), stats, run.count()).groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
+        found = windows_of(docs.join(hits, "doc_id").withColumn("new", F.lit(True)))
         if old is not None:
-            past = old.join(stats.where("seen"), "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-            found = found.union(windows_of(self.history.join(past, "doc_id").select("doc_id", F.lit(False).alias("new"), "text", "fps")))
+            past = _matching(old.select("fp", "doc_id"), stats.where("n_old > 0").select("fp", F.col("n_old").alias("n")), old.count())
+            past = past.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+            found = found.union(windows_of(self.history.join(past, "doc_id").withColumn("new", F.lit(False))).withColumn("all_pos", F.array().cast("array<int>")))
         found = materialize(found, "windows")
-        first = found.groupBy("w1", "w2").agg(F.min(F.struct("new", "doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2", "first")
-        again = found.where("new").join(first, ["w1", "w2"]).where(~(F.col("first.new") & (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))))
-        out = materialize(again.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
+        # windows that no former batch has stay where they come first
+        rows = found.select(F.when(F.col("new"), F.col("doc_id")).alias("doc"), F.explode(F.arrays_zip("pos", "w1", "w2")).alias("w")).select("doc", "w.*")
+        if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+            first = rows.groupBy("w1", "w2").agg(F.count("doc").alias("new"), F.count(F.lit(1)).alias("all"), F.min("doc").alias("doc_id"), F.min_by("pos", "doc").alias("pos"))
+        else:  # of rows that share a doc_id the one that has the window earliest
+            first = rows.groupBy("w1", "w2").agg(F.count("doc").alias("new"), F.count(F.lit(1)).alias("all"), F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "pos"))).alias("f"))
+            first = first.select("new", "all", F.col("f.doc").alias("doc_id"), "f.pos")
+        stay = first.where(F.col("new") == F.col("all")).groupBy("doc_id").agg(F.collect_list("pos").alias("stay"))
+        again = F.array_except("all_pos", F.coalesce("stay", F.array().cast("array<int>")))
+        out = materialize(found.where("new").select("doc_id", "all_pos").join(stay, "doc_id", "left").select("doc_id", again.alias("starts")).where("size(starts) > 0"), "starts")
         for used in (stats, found):
             discard(used)
         self.runs.append(run)
         self.history = docs if self.history is None else self.history.union(docs)
-        if len(self.runs) >= self.fanout:
-            self.compact()
         return out
 
     def _old(self) -> DataFrame | None:
@@ -169,6 +202,7 @@ def cut(docs: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"]).assign(doc_id=frame["doc_id"].astype("Int64").to_numpy(object))[["doc_id", "n_words", "n_removed", "kept"]]
 
+    starts = starts.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))  # of rows that share an id
     return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
@@ -176,7 +210,9 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (text), feeding ``docs`` in batches of ascending doc_id.
 
     Words are unchanged runs of anything but ASCII white space. Null and short texts have no windows. Rows with a
-    null doc_id are kept whole and not indexed; rows that share a doc_id count as one document. Other columns are ignored.
+    null doc_id are kept whole and not indexed; rows that share a doc_id count as one document, whose windows stay where a
+    row has them earliest. Other columns are ignored. A window, fingerprint or document of any number of rows or words
+    is spread over all tasks, but for the list of one document's fingerprints.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     index, starts, low = RunIndex(docs.sparkSession), None, None
