@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-#: Lines of a window, and the text outside of links that a window needs for a surge.
+#: Lines of a window, and the text outside of links that a window needs for a surge (less if no window has it).
 LINES, SURGE = 3, 60
-#: Regions of text below this share of the longest are left out, except in an article or main element.
+#: Regions of text below this share of the longest are left out.
 SHARE = 0.25
+#: On a page with an article or main element, text outside of it weighs this part of its length.
+OUTSIDE = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 _LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -30,38 +33,99 @@ _MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login social share sharing related recommended comment comments "
     "discussion disqus respond reply replies toolbar pager pagination widget search contentinfo complementary form dialog".split()
 )
+#: Words that may stand beside a mark: ``site-footer`` is marked, ``with-sidebar`` and ``share-price`` are not.
+_NEUTRAL = frozenset("site main page top bottom left right upper lower inner outer box bar block area section container wrapper wrap list item link links holder panel unit slot global primary secondary 1 2 3 4 5".split())
+#: Elements that end an open paragraph, and the elements whose start ends their like up to the nearest of some others.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_UP_TO = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ()}
+_SCOPE = ("table", "td", "th", "caption", "html")
+
+
+class _Open:
+    """The open elements, with the places of each name, so that every step takes constant time on average."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            self.at[self.names.pop()].pop()
+
+    def start(self, name: str) -> None:
+        """End what the start of ``name`` ends by the rules of HTML."""
+        if name in _ENDS_P and (p := self.last(("p",))) > self.last(_SCOPE):
+            self.cut(p)
+        if name in _LIKE and (like := self.last(_LIKE[name])) > self.last(_UP_TO[name]):
+            self.cut(like)
+
+    def push(self, name: str) -> None:
+        self.at[name].append(len(self.names))
+        self.names.append(name)
+
+    def end(self, name: str) -> None:
+        at = self.last((name,))
+        if at >= 0 and (name in _SCOPE or name == "tr" or at > self.last(_SCOPE)) and not (name in _INLINE and any(n not in _INLINE for n in self.names[-1:])):
+            self.cut(at)
+
+
+def _aside(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the element is no part of an article."""
+    if name in _ASIDE and not (name == "header" and inside) or attributes and _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return True
+    if name in ("html", "body"):
+        return False
+    marks = set()
+    for token in _labels(attributes):
+        words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        if words and all(w in _MARKS or w in _NEUTRAL for w in words):
+            marks.update(w for w in words if w in _MARKS)
+    return bool(marks & {"comment", "comments", "ad", "ads", "advert"} if name in _MAIN else marks)
 
 
 def _labels(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    return {w for m in _LABEL.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())}
+    return {w for m in _LABEL.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page without markup: (text, length outside of links, inside an article or main element).
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """Lines of a page without markup: (text, length outside of links, number of the article or main element it is in or 0).
 
-    Text in elements that are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) is left out.
+    Elements that are no part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) leave an empty line.
     """
-    out, parts = [], []
-    skip, depth, main, links, outside = "", 0, [], 0, 0
+    out, parts, opened = [], [], _Open()
+    skip, main, number = -1, -1, 0  # depths at which an element that is left out, and an article, begin
+    links = outside = 0
 
     def end_line() -> None:
         nonlocal outside
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, min(len(text), outside)), bool(main)))
+            out.append((text, max(0, min(len(text), outside)), number if main >= 0 else 0))
         parts.clear()
         outside = 0
 
     def add(raw: str) -> None:
         nonlocal outside
-        if raw and not skip:
+        if raw and skip < 0:
             text = html.unescape(raw)
             parts.append(text)
             if not links:
                 outside += len(text.strip())
 
+    def shrunk() -> None:
+        nonlocal skip, main
+        if skip >= len(opened.names):
+            skip = -1
+        if main >= len(opened.names):
+            end_line()
+            main = -1
+
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -69,70 +133,73 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         name = (m[3] or "").lower()
         if not name:
             continue
-        closing = bool(m[2])
-        if skip:
-            # until the element that began it ends; the end of the page's body ends everything
-            if name == skip:
-                depth += -1 if closing else 1
-            if depth == 0 or closing and name in ("body", "html"):
-                skip = ""
-            continue
-        if name not in _INLINE:
+        if name not in _INLINE and skip < 0:
             end_line()
-        if name == "a":
-            links = 0 if closing else 1
-        if closing:
-            if name in _MAIN and name in main:
-                while main.pop() != name:
-                    pass
+        if name == "a" and skip < 0:
+            links = 0 if m[2] else 1
+        if m[2]:
+            opened.end(name)
+            shrunk()
             continue
-        labels = _labels(m[4])
-        aside = name in _ASIDE and not (name == "header" and main) or bool(labels & _MARKS) and name not in ("html", "body", "article", "main") or bool(labels & {"comment", "comments", "ad", "ads", "advert"}) and name in _MAIN
-        if name not in _VOID and not m[4].rstrip().endswith("/") and (aside or m[4] and _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", m[4]))):
+        opened.start(name)
+        shrunk()
+        if name in _VOID or m[4].rstrip().endswith("/"):
+            continue
+        if skip < 0 and _aside(name, m[4], main >= 0):
             end_line()
-            skip, depth = name, 1
-        elif name in _MAIN or "main" in labels and name == "div":
-            if name in _MAIN:
-                main.append(name)
+            skip, links = len(opened.names), 0
+            out.append(("", 0, number if main >= 0 else 0))
+        elif skip < 0 and main < 0 and (name in _MAIN or "main" in _labels(m[4]) and re.search(r"role\s*=\s*[\"']?main\b", m[4], re.I)):
+            main, number = len(opened.names), number + 1
+        opened.push(name)
     add(page[at:])
     end_line()
     return out
 
 
-def _regions(size: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Lines between the surge and dive points of windows of ``size``."""
+def distribution(found: list[tuple[str, int, int]]) -> np.ndarray:
+    """Weights of the lines, with gaps of empty lines around each article or main element; -1 stands for a gap.
+
+    Outside of such elements a line weighs its text outside of links, on a page that has one ``OUTSIDE`` of it. Inside a
+    line weighs all its text and at least a surge, so that short lines, empty ones too, don't end a region.
+    """
+    marked, out, before = any(n for *_, n in found), [], 0
+    for text, free, n in found:
+        if n != before:
+            out += [-1] * LINES
+            before = n
+        out.append(max(SURGE, len(text)) if n else int(free * OUTSIDE) if marked else free)
+    return np.array(out, np.int64)
+
+
+def regions(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Lines between the surge and dive points of windows: (start, end), those of at least ``SHARE`` of the heaviest."""
+    size = np.maximum(weight, 0)
     sums = np.convolve(np.concatenate([size, np.zeros(LINES - 1, np.int64)]), np.ones(LINES, np.int64), "valid")
-    regions, start = [], None
+    least, out, start = min(SURGE, max(1, int(sums.max(initial=0)))), [], None
     for i, total in enumerate(sums.tolist()):
         if start is None and total >= least and size[i]:  # surge
             start = i
         elif start is not None and total == 0:  # dive
-            regions.append((start, i))
+            out.append((start, i))
             start = None
     if start is not None:
-        regions.append((start, len(size)))
-    return regions
+        out.append((start, len(size)))
+    heavy = [int(size[a:b].sum()) for a, b in out]
+    return [r for r, w in zip(out, heavy) if w >= SHARE * max(heavy)]
 
 
 def main_text(page: str | None) -> str:
     """Text between the surge and dive points of the lines' lengths, blocks joined by one space.
 
-    An article or main element decides instead, unless the regions have more text outside of it, as beside a teaser.
+    On every page the windows decide; article and main elements only change what lines weigh. So a long text
+    beside an article element that is a teaser wins, and a short notice beside an article does not.
     """
     found = lines(page or "")
-    if not found:
-        return ""
-    size = np.array([length for _, length, _ in found], np.int64)
-    inside = np.array([x for *_, x in found], bool)
-    regions = _regions(size, SURGE)
-    weight = [int(size[a:b].sum()) for a, b in regions]
-    keep = [r for r, w in zip(regions, weight) if w >= SHARE * max(weight)]
-    # links of an article are its text, too
-    own = sum(len(text) for text, _, x in found if x)
-    beside = sum(int(size[a:b][~inside[a:b]].sum()) for a, b in keep)
-    if own and beside <= own:
-        return " ".join(text for text, _, x in found if x)
-    return " ".join(text for a, b in keep for text, *_ in found[a:b])
+    weight = distribution(found)
+    texts = iter(found)
+    placed = [next(texts)[0] if w >= 0 else "" for w in weight.tolist()]
+    return " ".join(t for a, b in regions(weight) for t in placed[a:b] if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
