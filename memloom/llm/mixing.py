@@ -49,48 +49,61 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken.
-
-    With r = target / source_size, every document of a source is certain of floor(r) copies, and has one more with
-    inclusion probability p = r - floor(r). Pareto order sampling ranks the source's documents by
-    u / (1 - u) : p / (1 - p) and takes them in this order up to the residual words: the sample's size is fixed,
-    in words, to within half a document. p differs between sources, and the ranks by their odds make one order of the
-    whole mix. The rank at which a source is cut is found from counts per bucket of u, then exactly inside one
-    bucket, so a source of any size is never sorted in one task. Empty documents take part with size 0 and count
-    nothing. Rows with the same doc_id share u and are cut in order of size. An empty table gives an empty result.
-    """
+def _drawn(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """``mix`` with the 128-bit hash (h1, h2) of each whole row beside it."""
     u = uniform(F.col("doc_id"), seed)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    d = materialize(d.withColumn("odds", u / (1 - u)).withColumn("bucket", F.floor(u * BUCKETS)), "sizes")  # texts are read once
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"))
+    d = materialize(d.withColumn("odds", u / (1 - u)), "sizes")  # texts are read once
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.select("source", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
     plan = plan.withColumn("residual", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = materialize(plan, "mix-plan")  # a row per source, of a known size: broadcast only while it is small
-    # odds / (p / (1 - p)) has the order of odds inside a source: p is the same for its documents
-    filled = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    ranked = d.join(plan.withColumnRenamed("source", "of"), d.source.eqNullSafe(F.col("of"))).drop("of")
+    rank = F.when(F.col("p") > 0, F.col("odds") / (F.col("p") / (1 - F.col("p"))))
+    ranked = ranked.withColumn("pareto_rank", rank).drop("odds")
+    ranked = ranked.withColumn("bucket", F.floor(F.col("pareto_rank") / (1 + F.col("pareto_rank")) * BUCKETS))  # in the order of ranks, those near 1 in the middle
+    filled = ranked.where("pareto_rank IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("residual").alias("residual"))
     upto = Window.partitionBy("source").orderBy("bucket")
-    filled = filled.select("source", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.col("n"))
-    cut = filled.join(plan, filled.source.eqNullSafe(plan.source)).where("n > 0 AND before < residual AND before + n >= residual")
-    cut = materialize(cut.select(filled.source.alias("cut_source"), F.col("bucket").alias("cut_bucket"), "before"), "mix-cuts")
-    joined = d.join(plan.withColumnRenamed("source", "of"), d.source.eqNullSafe(F.col("of"))).drop("of")
-    joined = joined.join(cut, joined.source.eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    filled = filled.select("source", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("before"), "n", "residual").where("n > 0 AND before < residual AND before + n >= residual")
+    cut = materialize(filled.select(F.col("source").alias("cut_source"), F.col("bucket").alias("cut_bucket"), "before"), "mix-cuts")
+    joined = ranked.join(cut, ranked.source.eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     # of the documents in the cut bucket those whose middle lies before the residual
     at_cut = joined.where("bucket = cut_bucket")
-    order = Window.partitionBy("source").orderBy("odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("pareto_rank", "doc_id", "size", "h1", "h2").rowsBetween(Window.unboundedPreceding, 0)
     near = at_cut.withColumn("extra", F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("residual"))
-    away = joined.where("cut_bucket IS NULL OR bucket <> cut_bucket").withColumn("extra", (F.col("residual") > 0) & F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
-    both = near.unionByName(away)
+    away = joined.where("cut_bucket IS NULL OR bucket IS NULL OR bucket <> cut_bucket").withColumn("extra", (F.col("residual") > 0) & F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
     copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
-    rank = F.when(F.col("p") > 0, F.col("odds") / (F.col("p") / (1 - F.col("p"))))
-    return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), rank.alias("pareto_rank"))
+    return near.unionByName(away).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "pareto_rank", "h1", "h2")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, pareto_rank.
+
+    With r = target / source_size, every document of a source is certain of floor(r) copies, and has one more with
+    inclusion probability p = r - floor(r). Pareto order sampling ranks documents by u / (1 - u) : p / (1 - p) and takes
+    each source's in the order of these ranks up to the residual words: the sample's size is fixed,
+    in words, to within half a document. p is one for the documents of a source and differs between sources. The rank
+    at which a source is cut is found from counts per bucket of ranks, then exactly inside one
+    bucket, so a source of any size is never sorted in one task. Empty documents take part with size 0 and count
+    nothing. Rows with the same doc_id share u and are cut in order of size and a hash of the row. An empty table gives an empty result.
+    """
+    return _drawn(docs, weights, most, seed).drop("h1", "h2")
 
 
-def copies(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs``, all columns, as often as it is taken; doc_id identifies a row."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__mix_copies"))
-    wide = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs``, all columns, as often as it is taken.
+
+    Rows are told apart by all their columns, so rows that repeat a doc_id are taken each by its own draw; rows equal in
+    every column are interchangeable and come as often as they are taken together.
+    """
+    taken = _drawn(docs, weights, most, seed).groupBy("h1", "h2").agg(F.sum("copies").alias("__mix_copies")).where("__mix_copies > 0")
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(row)])
+    # equal rows become one before they are shuffled
+    once = docs.select(F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"), whole.alias("row")).groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    wide = once.join(taken, ["h1", "h2"])
     again = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
-    return wide.select(*[F.col(f"`{c}`") for c in docs.columns], again.alias("__mix_copy")).drop("__mix_copy")
+    return wide.select("row", again.alias("__mix_copy")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -27,10 +27,10 @@ o AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all
 l AS (SELECT *, (total - cap_before) / (all_w - w_before) AS level FROM o),
 t AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT level FROM l WHERE cap > w * level ORDER BY cap / w, source NULLS LAST LIMIT 1)), cap) AS target FROM l),
 r AS (SELECT *, floor(target / source_size)::BIGINT AS whole, target / source_size - floor(target / source_size) AS p FROM t WHERE source_size > 0 UNION ALL SELECT *, 0, 0 FROM t WHERE source_size = 0),
-x AS (SELECT d.doc_id, d.size, d.u / (1 - d.u) AS odds, floor(d.u * 4096)::BIGINT AS bucket, r.*, greatest(0, target - whole * source_size) AS residual FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY source ORDER BY bucket RANGE UNBOUNDED PRECEDING) AS fill_upto, sum(size) OVER (PARTITION BY source, bucket) AS fill FROM x),
-e AS (SELECT *, CASE WHEN residual <= 0 THEN 0 WHEN fill_upto < residual THEN 1 WHEN fill_upto - fill >= residual THEN 0 WHEN upto - size / 2::DOUBLE <= residual THEN 1 ELSE 0 END AS extra FROM c)
-SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken, whole + extra AS copies, CASE WHEN p > 0 THEN odds / (p / (1 - p)) END AS pareto_rank FROM e
+x AS (SELECT d.doc_id, d.size, CASE WHEN p > 0 THEN d.u / (1 - d.u) / (p / (1 - p)) END AS pareto_rank, r.*, greatest(0, target - whole * source_size) AS residual FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto_rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM x),
+e AS (SELECT *, CASE WHEN residual > 0 AND pareto_rank IS NOT NULL AND upto - size / 2::DOUBLE <= residual AND upto - size < residual THEN 1 ELSE 0 END AS extra FROM c)
+SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken, whole + extra AS copies, pareto_rank FROM e
 """
 
 NEAR = f"""

@@ -229,6 +229,36 @@ def test_mix(docs, none, texts):
     assert out.columns == docs.columns and collections.Counter(r.doc_id for r in out.select("doc_id").collect()) == {i: r.copies for i, r in got.items() if r.copies}
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows that repeat a doc_id, or all their columns, come out as often as the mix takes them in all."""
+    rows = [(1, f"w{k} " * 10, "a", "x") for k in range(3)] + [(2, "same words here", "a", "x")] * 4 + [(3, "y " * 200, "b", "x"), (None, "n n", None, None), (4, None, "a", "x"), (4, "", "a", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    want, out = collections.Counter(), collections.Counter()
+    for r in got:
+        want[r.doc_id] += r.copies
+    for r in mixing.copies(df).collect():
+        out[r.doc_id] += 1
+    assert out == +want and mixing.copies(df).schema == df.schema
+
+
+def test_pareto_ranks_select(spark):
+    """Inside a source the extra copies go to the lowest ranks, up to the residual words."""
+    rnd = random.Random(2)
+    rows = [(i, "w " * rnd.randint(1, 40), "abc"[i % 3] if i % 2 else "d") for i in range(600)]
+    got = collections.defaultdict(list)
+    source = {i: s for i, _, s in rows}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        got[source[r.doc_id]].append(r)
+    for rs in got.values():
+        whole = min(r.copies for r in rs)
+        residual, upto = rs[0].target - math.floor(rs[0].target / rs[0].source_size) * rs[0].source_size, 0
+        for r in sorted(rs, key=lambda r: (r.pareto_rank, r.doc_id)):
+            upto += r["size"]
+            assert r.copies - whole == (upto - r["size"] / 2 <= residual)
+
+
 def test_mix_caps_and_empty_sources(spark):
     df = spark.createDataFrame([(1, "a b", "a"), (2, "w " * 500, "b"), (3, None, "c"), (4, "x " * 9, None), (5, "y " * 40, "d")], "doc_id long, text string, source string")
     got = rows_of(mixing.mix(df))
