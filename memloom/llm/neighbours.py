@@ -13,14 +13,14 @@ from .common import discard, materialize, parallelism, prepare
 from .components import components
 
 LINK = 0.9
-#: Neighbours of a list, and of one that is saturated with links.
-K, SATURATED = 12, 48
+#: Neighbours of a list, and the most of one that links have saturated: such a list doubles from round to round.
+K, MOST = 12, 96
 #: Random orders that seed the graph, neighbours looked at in each, and what a vector takes from one.
 ORDERS, REACH, TAKE = 12, 8, 4
 #: Neighbours of neighbours that a vector takes from one list, and rounds at most.
-GAIN, ROUNDS = 4, 8
-#: Vectors of the audit sample, and the recall that ends the descent.
-AUDIT, RECALL = 1024, 0.999
+GAIN, ROUNDS = 4, 10
+#: Vectors of the audit sample, planted vectors, and the recall that ends the descent.
+AUDIT, PLANTS, RECALL = 1024, 1024, 0.999
 #: Slack for the 8-bit vectors that the descent compares.
 NEAR = 0.03
 TILE = 512
@@ -102,10 +102,13 @@ def _seeds(nodes: DataFrame, n: int, salt: int) -> DataFrame:
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
-    """Neighbour lists (a, b, sim, fresh): the K best, or up to SATURATED where all of those are links."""
+    """Neighbour lists (a, b, sim, fresh): the K best, and where those are links, links up to twice as many as before."""
     one = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))
-    return one.withColumn("r", rank).where((F.col("r") <= SATURATED) & ((F.col("r") <= K) | (F.col("sim") >= LINK - NEAR))).drop("r")
+    link = F.col("sim") >= LINK - NEAR
+    had = F.sum((link & ~F.col("fresh")).cast("int")).over(Window.partitionBy("a"))
+    one = one.withColumns({"r": rank, "room": F.least(F.lit(MOST), F.greatest(F.lit(K), 2 * had))})
+    return one.where((F.col("r") <= K) | link & (F.col("r") <= F.col("room"))).drop("r", "room")
 
 
 def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def _descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     both = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("fresh").alias("fresh"))
     # a hub's list of those that name it is read up to its best: the lists of its neighbours hold the others
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
-    both = both.withColumn("r", rank).where(F.col("r") <= SATURATED).select("u", "v", "fresh")
+    both = both.withColumn("r", rank).where(F.col("r") <= MOST).select("u", "v", "fresh")
     rows = both.join(known, both.v == known.id).select("u", "v", "fresh", "q", "worst")
     rows = rows.repartition(parallelism(nodes.sparkSession), "u").sortWithinPartitions("u", "v")
 
@@ -191,7 +194,7 @@ def _parts(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     vectors of such lists are compared with every vector outside their part.
     """
     parts = materialize(components(graph.where(F.col("sim") >= LINK - NEAR)).toDF("id", "part"), "parts")
-    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).where((F.col("n") >= SATURATED) & (F.col("least") >= LINK - NEAR))
+    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).where((F.col("n") >= MOST) & (F.col("least") >= LINK - NEAR))
     rows = materialize(nodes.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "size", "v"), "rows")
     joined = _joined(parts, _bridges(rows, rows.join(full.select(F.col("a").alias("id")), "id", "left_semi")))
     discard(rows)
@@ -207,12 +210,15 @@ def _joined(parts: DataFrame, bridges: DataFrame | None) -> DataFrame:
     return more
 
 
-def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> float:
+def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> float | None:
     """Recall of the parts: of the exact links that a bounded sample of vectors have with all others, the share inside one part.
 
-    Shares are means per vector, then over all vectors or over parts, whichever is less, so that no large group hides others.
+    Half of the sample is drawn from all vectors, half from those in parts. Shares are means per vector, then over all
+    vectors or over parts, whichever is less, so that no large group hides others. None: the sample has no links.
     """
-    asked = nodes.orderBy(F.xxhash64("id", F.lit(5))).limit(sample).select("id", "size", "v").collect()
+    order = F.xxhash64("id", F.lit(5))
+    some = nodes.select("id").orderBy(order, "id").limit(sample // 2).union(parts.select("id").orderBy(order, "id").limit(sample // 2)).distinct()
+    asked = nodes.join(F.broadcast(some), "id").select("id", "size", "v").collect()
     known = {s: (np.array([r.id for r in asked if r.size == s]), np.stack([np.frombuffer(r.v) for r in asked if r.size == s])) for s in {r["size"] for r in asked}} if asked else {}
 
     def run(frames: Iterator) -> Iterator:
@@ -233,36 +239,71 @@ def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> float:
     shares = met.groupBy("b", F.coalesce("y", "b").alias("part")).agg(F.avg(inside).alias("share")).groupBy("part").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("n"))
     row = shares.agg(F.sum("share") / F.sum("n"), F.avg(F.col("share") / F.col("n"))).first()
     discard(true)
-    return 1.0 if row[0] is None else min(row)
+    return None if row[0] is None else min(row)
+
+
+def _planted(nodes: DataFrame, count: int = PLANTS) -> tuple[DataFrame, DataFrame]:
+    """(nodes and planted vectors, pairs (origin, plant)): a bounded sample of vectors, each turned by a random angle just inside a link.
+
+    Links may be so rare that no sample of vectors has any; the planted ones tell whether the descent would have found them.
+    """
+    spark = nodes.sparkSession
+    low, high = nodes.agg(F.min("id"), F.max("id")).first()
+    some = nodes.orderBy(F.xxhash64("id", F.lit(21)), "id").limit(count).select("id", "size", "v").collect()
+    rng, plants, pairs = np.random.default_rng(21), [], []
+    for i, r in enumerate(some):
+        v = np.frombuffer(r.v)
+        w = rng.standard_normal(len(v))
+        w -= (w @ v) * v
+        norm = np.linalg.norm(w)
+        c = LINK + 0.01
+        u = c * v + math.sqrt(1 - c * c) * w / norm if norm > 1e-9 else v
+        q = np.rint(u * (127 / np.abs(u).max())).astype(np.int8).tobytes()
+        new = high + 1 + i if high < 1 << 62 else low - 1 - i
+        plants.append((new, r["size"], bytearray(q), bytearray(u.astype("<f8").tobytes())))
+        pairs.append((r.id, new))
+    every = nodes.select("id", "size", "q", "v")
+    every = materialize(every.union(spark.createDataFrame(plants, every.schema)) if plants else every, "planted")
+    return every, spark.createDataFrame(pairs, "a long, b long")
 
 
 def neighbour_parts(nodes: DataFrame) -> DataFrame:
     """(id, part) of the vectors of ``nodes(id, size, q, v)`` that hang together with others, by NN-descent.
 
     Lists begin with what stands near in random orders. In a round each vector shows its neighbours (and those that
-    name it) to each other, only if one of the two is fresh, and lists keep their best. The descent ends when the audit
-    finds the links connected; while it is short, new random orders are mixed in. If it still is after the last round,
-    or once lists don't change, all vectors are compared with those of other parts.
+    name it) to each other, only if one of the two is fresh, and lists keep their best; lists full of links double. The
+    descent ends when the audits find the links of sampled vectors, and vectors planted near others, connected; while
+    they are short, new random orders are mixed in. If they still are after the last round,
+    or once lists don't change, all vectors are compared with those of other parts. Planted vectors may be among the result's.
     """
-    n = nodes.count()
-    graph = materialize(_lists(_seeds(nodes, n, 0).withColumn("fresh", F.lit(True))), "graph")
+    every, pairs = _planted(nodes)
+    n = every.count()
+    graph = materialize(_lists(_seeds(every, n, 0).withColumn("fresh", F.lit(True))), "graph")
     for turn in range(1, ROUNDS + 1):
-        more = _descend(graph, nodes)
-        if turn % 3 == 0:
-            more = more.union(_seeds(nodes, n, turn))
+        more = _descend(graph, every)
+        if turn > 2:
+            more = more.union(_seeds(every, n, turn))
         new = materialize(_lists(graph.select("a", "b", "sim", F.lit(False).alias("fresh")).union(more.withColumn("fresh", F.lit(True)))), "graph")
         discard(graph)
         graph = new
         last = turn == ROUNDS or not graph.where("fresh").head(1)
         if turn < 2 and not last:
             continue
-        parts = _parts(graph, nodes)
-        if audit(nodes, parts) >= RECALL:
-            return parts
+        parts = _parts(graph, every)
+        met = pairs.join(parts.toDF("a", "x"), "a", "left").join(parts.toDF("b", "y"), "b", "left")
+        found = met.agg(F.avg(F.coalesce(F.col("x") == F.col("y"), F.lit(False)).cast("double"))).first()[0]
+        measured = audit(nodes, parts)
+        if min(1.0 if found is None else found, 1.0 if measured is None else measured) >= RECALL:
+            break
         if last:
             rows = materialize(nodes.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "size", "v"), "rows")
-            return _joined(parts, _bridges(rows, rows))
+            parts = _joined(parts, _bridges(rows, rows))
+            discard(rows)
+            break
         discard(parts)
+    discard(graph)
+    discard(every)
+    return parts
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -325,8 +366,11 @@ def embedding_duplicates(rows: DataFrame) -> DataFrame:
     prepare(spark)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     nodes = materialize(vectors(rows), "vectors")
-    members = materialize(nodes.join(neighbour_parts(nodes), "id").select("part", "id", "copies", "v"), "members")
+    parts = neighbour_parts(nodes)
+    members = materialize(nodes.join(parts, "id").select("part", "id", "copies", "v"), "members")
+    discard(parts)
     tiles = materialize(_tiles(members), "tiles")
+    discard(members)
     final = components(tiles.select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = tiles.groupBy("id").agg(F.sum("linked").alias("linked"))
     found = nodes.select("id", "copies").join(counts, "id", "left").join(final.toDF("id", "c"), "id", "left")

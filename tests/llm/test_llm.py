@@ -456,6 +456,19 @@ def test_links_between_saturated_groups(spark):
     assert link[:300, 300:600].sum() > 60000
 
 
+def test_sparse_links_and_chains_among_many(spark):
+    """Links of one pair in hundreds of vectors, and a chain whose neighbours alone are alike."""
+    rnd = np.random.default_rng(11)
+    x = list(rnd.standard_normal((12_000, 32)))
+    x += [v for k in range(40) for v in tight_group(rnd, x[k] / np.linalg.norm(x[k]), 1, 0.95)]
+    step = rnd.standard_normal(32)
+    for _ in range(200):
+        step = tight_group(rnd, step / np.linalg.norm(step), 1, 0.87)[0]
+        x.append(step)
+    link = check_links(spark, x)
+    assert 230 <= link.sum() // 2 <= 400
+
+
 def test_short_audit_compares_the_rest(spark, monkeypatch):
     """A hot group does not hide that links of small groups are missing, and lists that find nothing lose no links."""
     rnd = np.random.default_rng(5)
