@@ -229,14 +229,14 @@ def audit(nodes: DataFrame, parts: DataFrame, sample: int = AUDIT) -> float | No
                 if size in known:
                     ids, x = known[size]
                     y = np.stack([np.frombuffer(v) for v in part["v"]])
-                    i, j = np.nonzero(y @ x.T >= LINK)
-                    a, b = part["id"].to_numpy()[i], ids[j]
-                    yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    true = materialize(nodes.select("id", "size", "v").mapInPandas(run, "a long, b long"), "audit")
-    met = true.join(parts.toDF("a", "x"), "a", "left").join(parts.toDF("b", "y"), "b", "left")
-    inside = F.coalesce(F.col("x") == F.col("y"), F.lit(False)).cast("double")
-    shares = met.groupBy("b", F.coalesce("y", "b").alias("part")).agg(F.avg(inside).alias("share")).groupBy("part").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("n"))
+                    i, j = np.nonzero((y @ x.T >= LINK) & (part["id"].to_numpy()[:, None] != ids[None]))
+                    yield pd.DataFrame({"b": ids[j], "x": part["part"].to_numpy()[i]}).value_counts().reset_index(name="n")
+
+    placed = nodes.join(parts, "id", "left").select("id", F.coalesce("part", "id").alias("part"), "size", "v")
+    true = materialize(placed.mapInPandas(run, "b long, x long, n long"), "audit")
+    met = true.join(parts.toDF("b", "y"), "b", "left").withColumn("y", F.coalesce("y", "b"))
+    inside = F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")
+    shares = met.groupBy("b", F.col("y").alias("part")).agg(inside.alias("share")).groupBy("part").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("n"))
     row = shares.agg(F.sum("share") / F.sum("n"), F.avg(F.col("share") / F.col("n"))).first()
     discard(true)
     return None if row[0] is None else min(row)
