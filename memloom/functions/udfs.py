@@ -28,6 +28,28 @@ def similarity(a: str | None, b: str | None) -> float:
     return max(SequenceMatcher(None, a, b).ratio(), share)
 
 
+def similarity_from(least: float):
+    """``similarity`` as a Column function for those that ask only what reaches ``least``: lower values may come out as the Jaccard.
+
+    The ratio has upper bounds from the lengths and from the letters' counts; where these stay below, it isn't computed.
+    """
+
+    def one(a: str | None, b: str | None) -> float:
+        a, b = _clean(a), _clean(b)
+        if not a or not b:
+            return 0.0
+        x, y = set(_TOKEN.findall(a)), set(_TOKEN.findall(b))
+        share = len(x & y) / len(x | y) if x and y else 0.0
+        m = SequenceMatcher(None, a, b)
+        return share if m.real_quick_ratio() < least or m.quick_ratio() < least else max(m.ratio(), share)
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    udf = F.pandas_udf(run, "double")
+    return lambda a, b: udf(a, b)
+
+
 def similarity_udf(a: Column, b: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")

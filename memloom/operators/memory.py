@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
+from ..session import checkpointed
 
 #: Similarity from which a fact says nothing new, may update, and updates as the more specific one.
 SAME, RELATED, SPECIFIC = 0.92, 0.70, 0.75
@@ -49,6 +50,33 @@ def candidates(facts: DataFrame, old: DataFrame, similarity: Callable[[Column, C
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def related(facts: DataFrame, old: DataFrame, least: float = RELATED) -> DataFrame:
+    """(user_id, arrival, pos, score): for each of ``facts(user_id, arrival, fact)`` the earliest of the memories most like it by Jaccard, from ``least`` on.
+
+    A set join by prefixes: texts of the same words are one; in any order of words, two sets as alike as ``least`` share one
+    of the first n - ceil(least * n) + 1 words of each. The order is by length, as long words are rare. Only sets of fitting
+    size that share such a word are compared, so unlike texts hardly ever form a pair.
+    """
+    key = F.md5(F.array_join(F.array_sort("words"), "\n")).alias("set")
+    f = facts.select("user_id", "arrival", T.token_set(F.col("fact")).alias("words")).where("size(words) > 0").select("user_id", "arrival", "words", key)
+    o = old.select("user_id", "pos", T.token_set(F.col("text")).alias("words")).where("size(words) > 0").select("user_id", "pos", "words", key)
+    o = o.groupBy("user_id", "set").agg(F.min("pos").alias("pos"), F.first("words").alias("words"))
+    one = f.groupBy("user_id", "set").agg(F.first("words").alias("words"))
+
+    def prefix(sets: DataFrame, name: str) -> DataFrame:
+        n = F.size("words")
+        rare = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+        rare = F.slice(rare, 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))
+        return sets.select("user_id", F.col("set").alias(name), n.alias(f"n_{name}"), F.explode(F.transform(rare, lambda x: x["w"])).alias("word"))
+
+    fits = F.least("n_new", "n_old") >= least * F.greatest("n_new", "n_old") - 1e-9
+    pairs = prefix(one, "new").join(prefix(o, "old"), ["user_id", "word"]).where(fits).select("user_id", "new", "old").distinct()
+    pairs = pairs.join(one.select("user_id", F.col("set").alias("new"), F.col("words").alias("a")), ["user_id", "new"]).join(o.select("user_id", F.col("set").alias("old"), "pos", F.col("words").alias("b")), ["user_id", "old"])
+    scored = pairs.select("user_id", "new", "pos", T.jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("user_id", "new").agg(F.max(F.struct("score", (-F.col("pos")).alias("pos"))).alias("b"))
+    return f.select("user_id", "arrival", "set").join(best.withColumnRenamed("new", "set"), ["user_id", "set"]).select("user_id", "arrival", (-F.col("b.pos")).alias("pos"), "b.score")
+
+
 def free_ids(used: DataFrame, wanted: DataFrame) -> DataFrame:
     """(user_id, k, id): the k-th smallest non-negative integer that none of ``used(user_id, id)`` is, for k = 1..n of ``wanted(user_id, n)``."""
     taken = used.where(F.col("id") == F.col("id").try_cast("long").cast("string")).select("user_id", F.col("id").try_cast("long").alias("number")).distinct()
@@ -64,17 +92,23 @@ def decide(old: DataFrame, facts: DataFrame, similarity: Callable[[Column, Colum
 
     Every fact's decision depends on it and the old memory alone, so all are taken at once. A known text says nothing.
     The most similar memory decides the rest: the same (nothing), related and adding something without
-    contradicting times (update, the best per memory; others are dropped), or new (add). A text that an earlier
+    contradicting times (update, the best per memory; others are dropped), or new (add); below ``RELATED`` it doesn't matter
+    which memory is nearest, so Jaccard runs as a set join (``related``). pos tells a user's memories apart. A text that an earlier
     fact of the session adds says nothing again. Updates come first, by similarity; adds get the smallest free numbers.
     """
     facts = facts.where(blank("text") != "").select("user_id", "arrival", blank("text").alias("fact"), F.lower(blank("type")).alias("fact_type"), blank("anchor_time").alias("now"))
     old = old.where((blank("id") != "") & (blank("text") != ""))
     known = old.select("user_id", F.lower(blank("text")).alias("low")).distinct()
     fresh = facts.withColumn("low", F.lower("fact")).join(known, ["user_id", "low"], "left_anti")
-    pairs = fresh.select("user_id", "arrival", "fact").join(old.select("user_id", "pos", "id", F.col("text").alias("old_text"), blank("anchor_time").alias("old_anchor")), "user_id")
-    scored = pairs.withColumn("score", similarity(F.col("fact"), F.col("old_text"))).where("score > 0")
-    best = scored.groupBy("user_id", "arrival").agg(F.max_by(F.struct("id", "old_text", "old_anchor", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    f = fresh.join(best, ["user_id", "arrival"], "left").select("user_id", "arrival", "fact", "fact_type", "now", "low", "b.*")
+    if similarity is jaccard_similarity:
+        best = related(fresh.select("user_id", "arrival", "fact"), old.select("user_id", F.col("pos").cast("long").alias("pos"), "text"))
+    else:  # nothing is known of the similarity: all memories of the user are asked
+        pairs = fresh.select("user_id", "arrival", "fact").join(old.select("user_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("old_text")), "user_id")
+        scored = pairs.withColumn("score", similarity(F.col("fact"), F.col("old_text"))).where(F.col("score") >= RELATED)
+        best = scored.groupBy("user_id", "arrival").agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("pos"), F.max("score").alias("score"))
+    target = old.select("user_id", F.col("pos").cast("long").alias("pos"), "id", F.col("text").alias("old_text"), blank("anchor_time").alias("old_anchor"))
+    f = fresh.join(best, ["user_id", "arrival"], "left").join(target, ["user_id", "pos"], "left")
+    f = f.select("user_id", "arrival", "fact", "fact_type", "now", "low", "id", "old_text", "old_anchor", "score")
     anchor = F.coalesce(F.nullif("old_anchor", F.lit("")), F.col("now"))
     was = dates.resolved_value(F.col("old_text"), anchor) if with_time else F.lit("")
     now = dates.resolved_value(F.col("fact"), F.col("now")) if with_time else F.lit("")
@@ -85,7 +119,7 @@ def decide(old: DataFrame, facts: DataFrame, similarity: Callable[[Column, Colum
     decision = F.when(F.col("score") >= SAME, "NONE").when((F.col("score") >= RELATED) & ~conflict & adds_something, "UPDATE").otherwise("ADD")
     f = f.withColumn("decision", decision)
     earlier = F.max((F.col("decision") == "ADD").cast("int")).over(Window.partitionBy("user_id", "low").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    f = f.withColumn("decision", F.when(earlier == 1, "NONE").otherwise(F.col("decision")))
+    f = checkpointed(f.withColumn("decision", F.when(earlier == 1, "NONE").otherwise(F.col("decision"))))
 
     one = F.row_number().over(Window.partitionBy("user_id", "id").orderBy(F.col("score").desc(), "arrival"))
     first = F.min("arrival").over(Window.partitionBy("user_id", "id"))
@@ -226,7 +260,7 @@ SLOT_FLAGS = [
     ("caroline_relationship", "single", (("single parent",),)),
     ("caroline_career", "counseling or mental health work for transgender/LGBTQ people", (*_CAREER, _TRANS)),
     ("caroline_career", "counseling or mental health work", _CAREER),
-    ("melanie_children_count", "three children", (("two younger kids", "2 younger kids"), ("daughter",))),
+    ("melanie_children_count", "three children", ((r"\b(two|2) younger kids\b",), ("daughter",))),
 ]
 SLOT_LABELS = [
     ("caroline_lgbtq_participation", "support groups", (("support group",),)),
@@ -261,7 +295,7 @@ def _needles(low: Column, groups) -> Column:
     for group in groups:
         hit = F.lit(False)
         for n in group:
-            hit = hit | low.contains(n)
+            hit = hit | (low.rlike(n) if n.startswith("\\b") else low.contains(n))
         out = out & hit
     return out
 

@@ -29,7 +29,7 @@ def bleu1(spark: SparkSession, d: str) -> DataFrame:
     return _pair_tokens(spark, d).select("conv_id", "turn", F.round(E.bleu1(F.col("p"), F.col("r")), 6).alias("bleu"))
 
 
-@query(f"""{_TOKENS.replace(metric_sql('memory') + ' AS p', metric_sql('memory') + ' AS r').replace(metric_sql('question') + ' AS r', metric_sql('question') + ' AS p')}, s AS (SELECT conv_id, turn, {_F1} AS f1, {_BLEU} AS bleu FROM o WHERE conv_id % 2 = 0) SELECT conv_id, max(f1) AS f1_score, max(bleu) AS bleu_score FROM s GROUP BY 1""")
+@query(f"""{_TOKENS.replace(metric_sql('memory') + ' AS p', metric_sql('memory') + ' AS r').replace(metric_sql('question') + ' AS r', metric_sql('question') + ' AS p')}, s AS (SELECT conv_id, turn, {_F1} AS f1, {_BLEU} AS bleu FROM o) SELECT conv_id, max(f1) AS f1_score, max(bleu) AS bleu_score FROM s GROUP BY 1""")
 def best_of_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Each opening question as the prediction, all later turns as candidate answers."""
     turns = turn_pairs(spark, d).groupBy("conv_id", "question").agg(F.collect_list("memory").alias("answers"))

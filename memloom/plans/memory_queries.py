@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.udfs import similarity_udf
+from ..functions.udfs import similarity_from
 from ..operators import memory as M
+from ..session import checkpointed
 from .registry import duck_values, inline, query, table
 from .text_queries import words_sql
 
-#: A fact is a document's opening: copies and shared passages make known, related and new ones.
-_FACT = "trim(substr(text, 1, 60))"
+#: A fact is a whole document: copies and shared passages make known, related and new ones.
+_FACT = "trim(text)"
 
 
 def old_memories(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def decide_ops(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def decide_ops_sequence(spark: SparkSession, d: str) -> DataFrame:
     """The same with the full similarity, a sequence ratio or the Jaccard, and with resolved times."""
-    return M.decide(old_memories(spark, d), new_facts(spark, d), similarity_udf).select("user_id", "seq", "id", "text", "event")
+    return M.decide(old_memories(spark, d), new_facts(spark, d), similarity_from(M.RELATED)).select("user_id", "seq", "id", "text", "event")
 
 
 @query(f"""{_DECIDE}, ops AS (SELECT * FROM u{_OPS}), om AS (SELECT user_id, pos::VARCHAR AS id, text FROM o)
@@ -57,7 +58,7 @@ SELECT coalesce(om.user_id, ops.user_id) AS user_id, coalesce(om.id, ops.id) AS
 FROM om FULL JOIN ops ON om.user_id = ops.user_id AND om.id = ops.id""")
 def apply_delta(spark: SparkSession, d: str) -> DataFrame:
     old = old_memories(spark, d)
-    ops = M.decide(old, new_facts(spark, d), with_time=False).withColumns({"event_anchor": F.lit(""), "type": F.lit("")})
+    ops = checkpointed(M.decide(old, new_facts(spark, d), with_time=False)).withColumns({"event_anchor": F.lit(""), "type": F.lit("")})
     return M.apply_delta(old, ops).select("user_id", "id", "text", "event", "written")
 
 
@@ -88,7 +89,7 @@ def invalidate_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH new AS (SELECT source AS user_id, doc_id % 400 AS id, doc_id AS pos, lang AS text FROM documents WHERE doc_id % 2 = 1), n1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY pos) AS r FROM new) WHERE r = 1),
-old AS (SELECT source AS user_id, doc_id % 397 AS id, doc_id AS pos, 'old' AS text FROM documents WHERE doc_id % 2 = 0 AND doc_id < 397), b AS (SELECT user_id, id, pos, text, 0 AS side FROM n1 UNION ALL SELECT user_id, id, pos, text, 1 FROM old WHERE NOT EXISTS (SELECT 1 FROM n1 WHERE n1.user_id = old.user_id AND n1.id = old.id))
+old AS (SELECT source AS user_id, doc_id % 397 AS id, doc_id AS pos, 'old' AS text FROM documents WHERE doc_id % 2 = 0), o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY pos) AS r FROM old) WHERE r = 1), b AS (SELECT user_id, id, pos, text, 0 AS side FROM n1 UNION ALL SELECT user_id, id, pos, text, 1 FROM o1 WHERE NOT EXISTS (SELECT 1 FROM n1 WHERE n1.user_id = o1.user_id AND n1.id = o1.id))
 SELECT user_id, id, text, row_number() OVER (PARTITION BY user_id ORDER BY side, pos) - 1 AS pos FROM b""")
 def snapshot_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -114,7 +115,7 @@ def top_candidates(spark: SparkSession, d: str) -> DataFrame:
     return got.select("arrival", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("SELECT conv_id AS user_id, turn AS session, coalesce(array_to_string(list(left(text, 8)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM conversations")
+@query("SELECT conv_id AS user_id, turn AS session, coalesce(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS history FROM conversations")
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("session"), "text")
     return M.history(s).select("user_id", "session", F.array_join("history", "|").alias("history"))

@@ -152,7 +152,7 @@ def multihop_merge(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d).select(F.col("user_id").alias("conv_id"), F.col("key").alias("turn"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(_HOPS + " SELECT r.conv_id, string_agg(r.turn || ':' || left(c.text, 12), '|' ORDER BY rank) AS selected, count(*) AS n FROM r JOIN conversations c ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE rank <= 4 GROUP BY 1")
+@query(_HOPS + " SELECT r.conv_id, string_agg(r.turn || ':' || c.text, '|' ORDER BY rank) AS selected, count(*) AS n FROM r JOIN conversations c ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE rank <= 4 GROUP BY 1")
 def retrieval_payload(spark: SparkSession, d: str) -> DataFrame:
     block = R.payload(_merged(spark, d), memories(spark, d)).where("success")
     line = F.transform("selected", lambda m: F.concat(m["id"].cast("string"), F.lit(":"), m["text"]))

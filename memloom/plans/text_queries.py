@@ -168,7 +168,7 @@ _TARGET = f"(list_position(['monday','tuesday','wednesday','thursday','friday','
 _BACK = f"coalesce(nullif({_num_sql(_WKND)}, 0), 1)"
 
 
-@query(rf"""WITH x AS (SELECT DISTINCT id, t, CAST(o_orderdate AS DATE) AS a FROM {duck_values(_PHRASES, 'id, t')}, (SELECT DISTINCT o_orderdate FROM orders ORDER BY 1 LIMIT 60)),
+@query(rf"""WITH x AS (SELECT DISTINCT id, t, CAST(o_orderdate AS DATE) AS a FROM {duck_values(_PHRASES, 'id, t')}, (SELECT DISTINCT o_orderdate FROM orders)),
 y AS (SELECT *, isodow(a) - 1 AS wd, a - CAST(isodow(a) - 1 AS INTEGER) AS monday FROM x)
 SELECT id, a AS anchor, CASE
  WHEN regexp_matches(t, '(?i)\b(yesterday|today|tomorrow)\b') THEN strftime(a + CAST(CASE lower(regexp_extract(t, '(?i)\b(yesterday|today|tomorrow)\b', 1)) WHEN 'yesterday' THEN -1 WHEN 'tomorrow' THEN 1 ELSE 0 END AS INTEGER), '%Y-%m-%d')

@@ -114,7 +114,7 @@ class Caller:
 
 
 def complete(rows: DataFrame, prompt: str, port: TextPort, out: str = "reply", limits: Limits | None = None, keep_errors: bool = False) -> DataFrame:
-    """``rows`` with the port's reply to each prompt; with ``keep_errors`` a failed batch gives null replies and its error."""
+    """``rows`` with the port's reply to each prompt; with ``keep_errors`` a prompt that fails, in its batch and alone, gives a null reply and its error."""
     limits, position = limits or Limits(), rows.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` string, error string"
 
@@ -130,8 +130,18 @@ def complete(rows: DataFrame, prompt: str, port: TextPort, out: str = "reply", l
                 except Exception as e:
                     if not keep_errors or isinstance(e, BudgetExceeded):
                         raise
-                    replies += [None] * len(asked)
-                    errors += [str(e)] * len(asked)
+                    # one by one, so that a prompt that can't be answered fails alone
+                    for prompt_ in asked:
+                        try:
+                            if len(asked) == 1:
+                                raise e
+                            replies += caller.call(port.complete, [prompt_])
+                            errors.append(None)
+                        except Exception as one:
+                            if isinstance(one, BudgetExceeded):
+                                raise
+                            replies.append(None)
+                            errors.append(str(one))
             yield frame[position].assign(**{out: replies, "error": errors})
 
     return rows.mapInPandas(run, schema)
