@@ -126,7 +126,7 @@ def judge_reason(reply: Column) -> Column:
     """Reason, explanation or rationale of a judge's JSON; else what stands before the JSON."""
     obj = json_object(reply)
     named = [F.nullif(F.trim(F.get_json_object(obj, f"$.{k}")), F.lit("")) for k in ("reason", "explanation", "rationale")]
-    return F.coalesce(*named, F.trim(F.regexp_extract(reply, r"(?s)^([^{]*)", 1)))
+    return F.coalesce(*named, F.regexp_replace(F.regexp_extract(reply, r"(?s)^([^{]*)", 1), r"^\s+|\s+$", ""))
 
 
 def join_values(values: Column) -> Column:

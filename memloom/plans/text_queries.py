@@ -97,7 +97,7 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH o AS (SELECT id, reply, {_OBJECT} AS obj FROM {_REPLIES_SQL}), l AS (SELECT *, upper(coalesce(json_extract_string(nullif(obj, ''), '$.label'), '')) AS label FROM o)
 SELECT id, CASE WHEN contains(label, 'CORRECT') THEN 1 WHEN contains(label, 'WRONG') THEN 0 WHEN regexp_matches(upper(reply), '\bCORRECT\b') THEN 1 ELSE 0 END AS score,
-coalesce(nullif(trim(json_extract_string(nullif(obj, ''), '$.reason')), ''), nullif(trim(json_extract_string(nullif(obj, ''), '$.explanation')), ''), nullif(trim(json_extract_string(nullif(obj, ''), '$.rationale')), ''), trim(regexp_extract(reply, '(?s)^([^{{]*)', 1))) AS reason FROM l""")
+coalesce(nullif(trim(json_extract_string(nullif(obj, ''), '$.reason')), ''), nullif(trim(json_extract_string(nullif(obj, ''), '$.explanation')), ''), nullif(trim(json_extract_string(nullif(obj, ''), '$.rationale')), ''), regexp_replace(regexp_extract(reply, '(?s)^([^{{]*)', 1), '^\s+|\s+$', '', 'g')) AS reason FROM l""")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     obj = text.json_object(F.col("reply"))
     return _replies(spark).select("id", text.judge_label(F.get_json_object(obj, "$.label"), F.col("reply")).alias("score"), text.judge_reason(F.col("reply")).alias("reason"))

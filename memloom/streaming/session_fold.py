@@ -1,7 +1,8 @@
 """Stateful streaming: sessions of a conversation folded into its memory, and event-time windows.
 
-The state of a conversation is its memory table and the sessions that wait for an earlier one; facts come as rows
-(user_id, session, arrival, text, type, anchor_time).
+The state of a conversation is its memory table and the sessions that wait; facts come as rows
+(user_id, session, arrival, text, type), on a stream with their time ts. A session needn't have facts. ``operators.sessions`` folds
+whole tables by the full rules of the merge, resolved times included; this fold uses texts alone.
 """
 
 from __future__ import annotations
@@ -53,46 +54,61 @@ def fold_session(memory: list[dict], facts: list[dict], same: float = 0.92, rela
     return ops
 
 
-def _advance(user: str, state: dict, rows: list[dict]) -> list[dict]:
-    """Take in new facts and fold every session whose turn has come; a later one waits."""
-    for r in rows:
-        state["waiting"].setdefault(int(r["session"]), []).append(r)
+def _advance(user: str, state: dict, until: float) -> list[dict]:
+    """Fold the waiting sessions in order, up to the first that has a fact not before ``until``."""
     out = []
-    # a session is complete once a fact of a later one is there too; without its own facts it is still to come
-    while state["next"] in state["waiting"] and max(state["waiting"]) > state["next"]:
-        facts = sorted(state["waiting"].pop(state["next"], []), key=lambda f: f["arrival"])
-        out += [{"user_id": user, "session": state["next"], **op} for op in fold_session(state["memory"], facts)]
-        state["next"] += 1
+    for session in sorted(state["waiting"]):
+        if max(f["ts"] for f in state["waiting"][session]) >= until:
+            break
+        facts = sorted(state["waiting"].pop(session), key=lambda f: f["arrival"])
+        out += [{"user_id": user, "session": session, **op} for op in fold_session(state["memory"], facts)]
+        state["next"] = session + 1
     return out
 
 
+def _take(state: dict, rows: list[dict]) -> None:
+    """Let new facts wait; those of a session that has been folded come too late."""
+    for r in rows:
+        if int(r["session"]) >= state["next"]:
+            state["waiting"].setdefault(int(r["session"]), []).append(r)
+
+
 def batch_fold(facts: DataFrame) -> DataFrame:
-    """All operations of all sessions in order, one conversation a task."""
+    """All operations of all sessions in order, one conversation a task; sessions without facts are passed over."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        state = {"next": 1, "memory": [], "waiting": {}}
-        last = {"session": int(frame["session"].max()) + 1, "arrival": 0, "text": "", "type": ""}
-        out = _advance(str(key[0]), state, [*frame.to_dict("records"), last])
-        return pd.DataFrame(out, columns=["user_id", "session", "id", "text", "event"])
+        state = {"next": frame["session"].min(), "memory": [], "waiting": {}}
+        _take(state, frame.assign(ts=0).to_dict("records"))
+        return pd.DataFrame(_advance(str(key[0]), state, float("inf")), columns=["user_id", "session", "id", "text", "event"])
 
     return facts.groupBy("user_id").applyInPandas(run, OUT)
 
 
-def stream_fold(facts: DataFrame) -> DataFrame:
-    """The same on a stream, with the memory kept in the state store; sessions may come out of order."""
+def stream_fold(facts: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream of facts with event time ts, with the memory kept in the state store.
+
+    Sessions may come out of order as far as ``late`` allows: a session is folded once the watermark has passed its last
+    fact, whether or not another follows. A last session is so folded when any later fact, of any user, has moved the watermark on.
+    """
     import json
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = {"next": 1, "memory": [], "waiting": {}}
+        now = {"next": -(1 << 62), "memory": [], "waiting": {}}
         if state.exists:
             at, memory, waiting = state.get
             now = {"next": at, "memory": json.loads(memory), "waiting": {int(k): v for k, v in json.loads(waiting).items()}}
-        rows = [r for f in frames for r in f[["session", "arrival", "text", "type"]].to_dict("records")]
-        out = _advance(str(key[0]), now, [{**r, "session": int(r["session"]), "arrival": int(r["arrival"])} for r in rows])
+        if not state.hasTimedOut:
+            rows = [r for f in frames for r in f[["session", "arrival", "text", "type", "ts"]].to_dict("records")]
+            _take(now, [{**r, "session": int(r["session"]), "arrival": int(r["arrival"]), "ts": r["ts"].timestamp() * 1000} for r in rows])
+        mark = state.getCurrentWatermarkMs()
+        out = _advance(str(key[0]), now, mark)
         state.update((now["next"], json.dumps(now["memory"]), json.dumps(now["waiting"])))
+        if now["waiting"]:
+            last = max(f["ts"] for f in now["waiting"][min(now["waiting"])])
+            state.setTimeoutTimestamp(int(max(last, mark)) + 1)
         yield pd.DataFrame(out, columns=["user_id", "session", "id", "text", "event"])
 
-    return facts.groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    return facts.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, OUT, STATE, "append", "EventTimeTimeout")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

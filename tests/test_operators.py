@@ -1,5 +1,6 @@
 """Operators against plain Python: sequential re-statements, published examples, seeded random cases."""
 
+import collections
 import datetime
 import json
 import random
@@ -7,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from memloom.functions import dates, scores, udfs
 from memloom.operators import memory as M
 from memloom.operators import rubric as R
@@ -130,17 +132,67 @@ def test_snapshot_diff_sees_returning_ids(spark):
 
 
 def test_stream_fold_equals_batch_fold(spark, tmp_path):
-    facts = session_facts(spark, SF)
-    last = facts.groupBy("user_id").agg((F.max("session") + 1).alias("session")).select("user_id", "session", F.lit(0).cast("long").alias("arrival"), F.lit("").alias("text"), F.lit("").alias("type"))
-    rows = facts.unionByName(last.select(facts.columns))
+    """Sessions out of order, and one without facts; a closing row of another user moves the watermark past the last sessions."""
+    facts = session_facts(spark, SF).where("session <> 2 OR user_id % 2 = 0")
+    rows = facts.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("session") * 3600))
+    end = spark.createDataFrame([("end", 1, 0, "", "", datetime.datetime(2030, 1, 1))], rows.schema)
     # later sessions arrive before earlier ones
     rows.where("session % 2 = 0").coalesce(1).write.parquet(f"{tmp_path}/in/1")
     rows.where("session % 2 = 1").coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    end.coalesce(1).write.parquet(f"{tmp_path}/in/3")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    q = S.stream_fold(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q = S.stream_fold(stream, "2 days").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(300)
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(spark.read.parquet(f"{tmp_path}/out")) == key(S.batch_fold(facts)) != []
+    got = key(spark.read.parquet(f"{tmp_path}/out"))
+    assert got == key(S.batch_fold(facts)) and len({r[1] for r in got}) > 2
+
+
+def test_fold_passes_over_sessions_without_facts(spark):
+    facts = spark.createDataFrame([("u", 1, 0, "one thing", "event"), ("u", 3, 0, "quite another", "event"), ("u", 4, 0, "a third matter", "event")], "user_id string, session long, arrival long, text string, type string")
+    assert [(r.session, r.text) for r in sorted(S.batch_fold(facts).collect())] == [(1, "one thing"), (3, "quite another"), (4, "a third matter")]
+
+
+def test_session_driver_is_the_sequential_rule(spark):
+    """Session by session in plain Python: the stand-in's facts, or the lines where it fails."""
+    from memloom.plans import session_queries as Q
+
+    sessions = collections.defaultdict(dict)
+    for r in sorted(spark.read.parquet(f"{SF}/conversations.parquet").collect()):
+        sessions[str(r.conv_id)].setdefault(r.turn // 2, []).append(r.text)
+    want, failed = {}, 0
+    for user, by in sessions.items():
+        memory = []
+        for n in sorted(by):
+            text = "\n".join(by[n])
+            reply = Q._facts("Memory:\n" + "\n".join(t for _, t in memory) + "\nSession:\n" + text)
+            if reply == "sorry":
+                failed += 1
+                known, top = {t.strip().lower() for _, t in memory}, max([int(i) for i, _ in memory], default=-1)
+                for x in text.split("\n"):
+                    if x.strip(" ") and x.strip(" ").lower() not in known:
+                        known.add(x.strip(" ").lower())
+                        top += 1
+                        memory.append((str(top), x.strip(" ")))
+                continue
+            ops = sequential_decide(memory, [(f["fact"].strip(), f["type"]) for f in json.loads(reply)["facts"] if f["fact"].strip()])
+            for i, t, event in ops:
+                if event == "UPDATE":
+                    memory = [(j, t if j == i else u) for j, u in memory]
+                else:
+                    memory.append((i, t))
+        want[user] = memory
+    got = collections.defaultdict(list)
+    for r in sorted(entry.queries()["session_driver"](spark, SF).collect(), key=lambda r: (r.user_id, r.pos)):
+        got[r.user_id].append((r.id, r.text))
+    assert failed and dict(got) == {u: m for u, m in want.items() if m}
+
+
+def test_second_hop_completes_the_first(spark):
+    first = collections.defaultdict(list)
+    for r in sorted(entry.queries()["second_hop"](spark, SF).collect(), key=lambda r: r["rank"]):
+        first[r.user_id, r.qid].append(r.key)
+    assert first and all(len(k) == len(set(k)) <= 4 for k in first.values()) and any(len(k) > 2 for k in first.values())
 
 
 def test_windowed_stream(spark, tmp_path):
