@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Rows per Arrow batch: keeps a batch of documents within a few MB of Python memory.
@@ -27,14 +28,8 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="memloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    """The folder that all executors share (spark.checkpoint.dir), or one inside the warehouse where it is unset."""
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
