@@ -37,11 +37,11 @@ def exact_classes(docs: DataFrame, content_hash=F.md5) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all their columns) that stay; of rows that repeat doc_id and text one stays."""
+    """The rows of ``docs`` (all their columns) that stay; of rows that repeat doc_id and text the one with the largest hash of its columns."""
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    best = docs.select(normalised(F.col("text")).alias("norm"), F.col("doc_id").alias("id"), whole.alias("row"))
-    best = best.groupBy(F.md5("norm").alias("h"), "norm").agg(F.max_by("row", F.struct("id")).alias("row"))
+    best = docs.select(normalised(F.col("text")).alias("norm"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie")).alias("by"), whole.alias("row"))
+    best = best.groupBy(F.md5("norm").alias("h"), "norm").agg(F.max_by("row", "by").alias("row"))
     return best.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -92,6 +92,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataF
     def run(frames: Iterator) -> Iterator:
         held: dict[int, np.ndarray] = {}  # the sets of the last frames' hubs
         for frame in frames:
+            if frame.empty:
+                continue
             todo: dict[int, str] = {}
             for side in "ab":
                 todo.update((i, t) for i, t in zip(frame[side], frame[f"text_{side}"]) if i not in held)
@@ -109,7 +111,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataF
                 good.append(least[1] * common >= least[0] * (len(x) + len(y) - common))
             yield frame.loc[good, ["a", "b"]]
             last = frame["b"].iloc[-1]
-            held = {last: held[last]} if len(frame) else {}
+            held = {last: held[last]}
 
     return both.mapInPandas(run, "a long, b long")
 

@@ -45,6 +45,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     plain, form = low.hashes(), _forms(words).hashes()
     again = np.zeros(len(plain), _U)
     again[1:] = plain[1:] == plain[:-1]
+    again[words.first[:-1][words.first[:-1] < len(again)]] = 0  # not across documents
     form = W.mix(form + again)
     families = [(plain, 1), (plain, 2), (form, 1), (form, 2), (form, 3)]
     grams = [(W.mix(W.shingles(h, k) + _U(977 * i + k)) >> _U(64 - BITS), k) for i, (h, k) in enumerate(families)]

@@ -160,6 +160,8 @@ def test_packing(docs, none, texts):
     for w in windows.values():
         assert all(o == sum(n for _, n in sorted(w)[:k]) for k, (o, _) in enumerate(sorted(w))) and sum(n for _, n in w) <= 4096
     assert packing.packed_sequences(none).count() == 0
+    # padding: what near-equal windows leave, and a window a partition
+    assert len(windows) <= sum(r.length for r in got) / (4096 * (1 - packing.SLACK)) + docs.rdd.getNumPartitions()
 
 
 def test_differencing_balances():
@@ -410,6 +412,34 @@ def test_quality(spark, none):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_against_plain_ftrl():
+    """Features counted n-gram by n-gram, weights learned coordinate by coordinate, scores as sparse sums."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("The cat sat ON 12 mats -- and and BUY!! now".split()) for _ in range(rnd.randint(1, 30))) for _ in range(60)] + [""]
+    found = list(quality.features(W.utf8(texts)))
+    for t, (at, value) in zip(texts, found):
+        w = [x.lower() for x in t.split()]
+        form = [re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", x)))) for x in t.split()]
+        form = [(f, i > 0 and w[i] == w[i - 1]) for i, f in enumerate(form)]
+        counts = collections.Counter((kind, tuple(seq[i : i + k])) for kind, seq, ks in (("word", w, (1, 2)), ("form", form, (1, 2, 3))) for k in ks for i in range(len(seq) - k + 1))
+        want = sorted(math.log1p(n) for n in counts.values())
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert at[-1] == 1 << quality.BITS and value[-1] == 1.0 and sorted(value[:-1]) == pytest.approx([x / norm for x in want])
+    rows = [(at, value, i % 2) for i, (at, value) in enumerate(found)]
+    z, n, w = (collections.defaultdict(float) for _ in range(3))
+    for _ in range(quality.EPOCHS):
+        for at, value, label in rows:
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in zip(at.tolist(), value.tolist()))))
+            for i, x in zip(at.tolist(), value.tolist()):
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+                sign = math.copysign(1, z[i])
+                w[i] = 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - sign * quality.L1) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    got = quality.train(rows)
+    assert {i: got[i] for i in np.flatnonzero(got).tolist()} == pytest.approx({i: x for i, x in w.items() if x}, abs=1e-9)
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(7)
     x = [rnd.standard_normal(16) for _ in range(300)]
