@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,26 +31,48 @@ def similarity(a: str | None, b: str | None) -> float:
     return max(SequenceMatcher(None, a, b).ratio(), share)
 
 
-def similarity_from(least: float):
-    """``similarity`` as a Column function for those that ask only what reaches ``least``: lower values may come out as the Jaccard.
+@lru_cache(64)
+def _places(text: str) -> dict[str, int]:
+    """For every letter of an ASCII text its places, as the bits of a number."""
+    codes = np.frombuffer(text.encode("ascii"), np.uint8)
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
 
-    The ratio has upper bounds from the lengths and from the letters' counts; where these stay below, it isn't computed.
+
+def common_letters(a: str, b: str, need: int) -> int:
+    """Length of the longest common subsequence of two ASCII texts, or some number below ``need`` once it can't be reached."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    places, full, n = _places(a), (1 << len(a)) - 1, len(a)
+    v = full  # a bit is off where the common subsequence grows by one
+    for at in range(0, len(b), 256):
+        if n - v.bit_count() + len(b) - at < need:
+            return n - v.bit_count()
+        for c in b[at : at + 256]:
+            u = v & places.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def sequence_ratio_from(least: float, a: Column, b: Column) -> Column:
+    """Sequence ratio of cleaned texts a against b where it reaches ``least``, else 0.
+
+    What the ratio counts is a common subsequence, so it isn't computed where the longest one is too short; that one is found
+    with a word of bits for 64 letters at a time.
     """
 
-    def one(a: str | None, b: str | None) -> float:
-        a, b = _clean(a), _clean(b)
-        if not a or not b:
-            return 0.0
-        x, y = set(_TOKEN.findall(a)), set(_TOKEN.findall(b))
-        share = len(x & y) / len(x | y) if x and y else 0.0
-        m = SequenceMatcher(None, a, b)
-        return share if m.real_quick_ratio() < least or m.quick_ratio() < least else max(m.ratio(), share)
+    def one(x: str, y: str) -> float:
+        need = math.ceil(least * (len(x) + len(y)) / 2 - 1e-9)
+        ratio = SequenceMatcher(None, x, y).ratio() if common_letters(x, y, need) >= need else 0.0
+        return ratio if ratio >= least else 0.0
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    udf = F.pandas_udf(run, "double")
-    return lambda a, b: udf(a, b)
+def cleaned_udf(c: Column) -> Column:
+    """Text as ``similarity`` compares it: ASCII letters in lower case, digits, apostrophes, backslashes and single spaces."""
+    return _mapped(_clean, c)
 
 
 def similarity_udf(a: Column, b: Column) -> Column:

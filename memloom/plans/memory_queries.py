@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.udfs import similarity_from
 from ..operators import memory as M
 from ..session import checkpointed
 from .registry import duck_values, inline, query, table
@@ -50,7 +49,7 @@ def decide_ops(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def decide_ops_sequence(spark: SparkSession, d: str) -> DataFrame:
     """The same with the full similarity, a sequence ratio or the Jaccard, and with resolved times."""
-    return M.decide(old_memories(spark, d), new_facts(spark, d), similarity_from(M.RELATED)).select("user_id", "seq", "id", "text", "event")
+    return M.decide(old_memories(spark, d), new_facts(spark, d), M.sequence_similarity).select("user_id", "seq", "id", "text", "event")
 
 
 @query(f"""{_DECIDE}, ops AS (SELECT * FROM u{_OPS}), om AS (SELECT user_id, pos::VARCHAR AS id, text FROM o)

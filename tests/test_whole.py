@@ -1,10 +1,13 @@
 """Queries over whole tables and texts, against plain Python on small tables."""
 
+import random
 import re
 
 import pytest
 
 import __spark_entry__ as entry
+from memloom.functions import udfs
+from memloom.operators import memory as M
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +85,39 @@ def test_every_order_date_is_an_anchor(run, spark):
     got = run("resolve_relative")
     assert len(days) > 60 and {str(r.anchor) for r in got} == days
     assert len(got) == len(days) * len({r.id for r in got})
+
+
+def test_sequence_join_is_brute_force(spark):
+    """The join by lengths, letters and common subsequences finds for every fact what comparing it with each memory finds."""
+    rng = random.Random(5)
+    words = ["at", "tea", "nest", "seat", "don't", "zebra", "x1", "Été", "a\\b"]
+    olds = [(u, p, " ".join(rng.choices(words, k=rng.choice([0, 1, 4, 9, 60])))) for u in "ab" for p in range(25)]
+    facts = [(u, i, mutate(rng, rng.choice(olds)[2])) for u in "ab" for i in range(30)] + [("a", 99, None), ("c", 0, "tea"), ("a", 98, olds[3][2])]
+    got = M.related_by_sequence(spark.createDataFrame(facts, "user_id string, arrival long, fact string"), spark.createDataFrame(olds + olds[:3], "user_id string, pos long, text string"))
+    want = {}
+    for u, i, fact in facts:
+        best = max(((udfs.similarity(fact, t), -p) for v, p, t in olds if v == u), default=(0, 0))
+        if best[0] >= M.RELATED:
+            want[u, i] = (round(best[0], 9), -best[1])
+    assert len(want) > 20
+    assert {(r.user_id, r.arrival): (round(r.score, 9), r.pos) for r in got.collect()} == want
+
+
+def mutate(rng, text):
+    letters = [c if rng.random() > 0.15 else rng.choice("abet ") for c in text]
+    return "".join(letters) if rng.random() < 0.8 else " ".join(rng.sample(text.split(), len(text.split())))
+
+
+def test_common_letters():
+    rng = random.Random(6)
+    for longest in [700] * 5 + [40] * 195:
+        a, b = ("".join(rng.choices("abc ", k=rng.randint(1, longest))) for _ in "xy")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        assert udfs.common_letters(a, b, 0) == row[-1]
+        assert udfs.common_letters(a, b, row[-1]) == row[-1]
+        assert udfs.common_letters(a, b, row[-1] + 1) <= row[-1]
