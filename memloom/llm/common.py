@@ -41,7 +41,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -50,10 +52,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/memloom/" in folder:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        at = getattr(df, "stored_at", None)
+        for folder in [at] if at else {f for f in map(os.path.dirname, df.inputFiles()) if "/memloom/" in f}:
             drop_table(df.sparkSession, folder)
 
 

@@ -102,4 +102,21 @@ def _secrets() -> str:
 
 SECRETS = _secrets()
 
-ORACLES: dict[str, str] = {"op2_nn_descent": EMBEDDINGS, "op3_exact_dedup": exact.ORACLE, "op5_source_mix": MIX, "op6_minhash_dedup": NEAR, "op7_substring_dedup": REPEATS, "op10_secret_scan": SECRETS}
+_SHARE = "1 + 1000000000::HUGEINT * ({} + 2) // ({} + 2 * v)"
+_APART = "(({0} - {1}) * ({0} - {1}) // ({0} + {1}))::BIGINT"
+
+AUDIT = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS docs, sum(n) AS n FROM (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY 1),
+c AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, k.total, v, lang_size FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n, {_SHARE.format("n", "(sum(n) OVER (PARTITION BY lang, source))")} AS p, {_SHARE.format("total", "lang_size")} AS q FROM c),
+f AS (SELECT x.lang, x.source, y.source AS item, sum({_APART.format("x.p", "y.p")}) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_APART.format("p", "q")} AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_nn_descent": EMBEDDINGS, "op3_exact_dedup": exact.ORACLE, "op5_source_mix": MIX, "op6_minhash_dedup": NEAR, "op7_substring_dedup": REPEATS, "op10_secret_scan": SECRETS, "op11_source_divergence": AUDIT}

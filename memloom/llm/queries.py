@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, with the SQL of those that SQL can express."""
+"""The thirteen operators as queries over their whole tables, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html, minhash, mixing, neighbours, packing, quality, secrets, substring, wavelet
+from . import align, audit, bytepair, exact, html, minhash, mixing, neighbours, packing, quality, secrets, substring, wavelet
 from .common import prepare, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -57,4 +57,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op2_nn_descent, op3_exact_dedup, op4_html_text, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op8_quality_scores, op9_packing, op10_secret_scan)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.source_divergence(_docs(spark, sf_dir, "lang", "source"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(_docs(spark, sf_dir))
+
+
+def op13_bytepair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepair.round_trips(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_wavelet_shards, op2_nn_descent, op3_exact_dedup, op4_html_text, op5_source_mix, op6_minhash_dedup, op7_substring_dedup, op8_quality_scores, op9_packing, op10_secret_scan, op11_source_divergence, op12_token_alignment, op13_bytepair_round_trip)}
