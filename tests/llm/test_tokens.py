@@ -1,6 +1,7 @@
 """Ops 11 to 13 against brute-force versions, on texts with every awkward case."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -110,13 +111,18 @@ def test_offsets_and_foreign_ids(docs, spark):
 # op 12
 
 
+@functools.cache
+def token_bytes(both):
+    return [[bytes(x.flat[s : s + n]) for s, n in zip(x.start, x.size)] for x in (both.a_bytes, both.b_bytes)]
+
+
 def aligned(both, text):
     """(groups, [(A id, B id)]) from whole texts."""
     if not text or "▁" in text:
         return None, []
     raw = " " + text
     a, b = both.a.encode(raw, add_special_tokens=False).ids, both.b.encode(text)
-    table_a, table_b = ([bytes(x.flat[s : s + n]) for s, n in zip(x.start, x.size)] for x in (both.a_bytes, both.b_bytes))
+    table_a, table_b = token_bytes(both)
     assert b"".join(table_a[i] for i in a) == b"".join(table_b[i] for i in b) == raw.encode()
     groups, links, x, y, at_a, at_b = [], [], [], [], 0, 0
     j = 0
@@ -174,10 +180,17 @@ def test_segments_align_as_whole_texts_do():
     assert [both.segments(["x;\ry"])[2][0], both.segments(["x y"])[2][0]] == [1, 2]
 
 
-def test_alignment_cuts_blocks(docs, monkeypatch):
-    want = key(tuple(r) for r in align.alignments(docs).collect())
-    monkeypatch.setattr(align, "BLOCK", 100)
-    assert key(tuple(r) for r in align.alignments(docs).collect()) == want
+def test_blocks_follow_the_limit(docs, monkeypatch):
+    """Texts are gathered up to the limit, and whatever the blocks are, all rows are in one."""
+    batches = docs.select("doc_id", "text").toArrow().to_batches(max_chunksize=7)
+    for limit in (1, 100, 10_000_000):
+        monkeypatch.setattr(align, "BLOCK", limit)
+        ids, sizes = [], []
+        for some, texts in align._gathered_texts(iter(batches)):
+            ids += some
+            sizes.append(sum(map(len, texts)))
+        assert key(ids) == key(r.doc_id for r in docs.select("doc_id").collect())
+        assert all(n >= limit for n in sizes[:-1])
 
 
 # op 11
