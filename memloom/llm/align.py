@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import itertools
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +16,14 @@ from .codepoints import BLANKS, byte_sizes, code_points, gathered, together, who
 from .common import discard, materialize, prepare
 from .tokens import _BYTE_LETTERS, vocabulary
 
-#: Characters of text whose segments share one list (a block).
-BLOCK = 1 << 23
+#: Characters of text whose segments share one list (a block), and distinct segments at which a block ends.
+BLOCK, DISTINCT = 1 << 26, 1 << 20
 #: White space before which texts may be split.
 SPLITS = "\t\n\r "
 #: How the second vocabulary writes a space.
 SPACE = "▁"
-#: Segments that are aligned at a time.
-SEGMENTS = 20_000
+#: Segments that are aligned at a time, and documents that are composed at a time.
+SEGMENTS, TOGETHER = 20_000, 256
 
 _pairs: dict[tuple[str, str], "Pair"] = {}
 
@@ -152,65 +152,75 @@ def _unsqueezed(raw: bytes, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-_BLOCKS = "block string, code int, segment string, n long, n_docs int, n_codes long, has_id binary, doc_ids binary, counts binary, codes binary"
+_BLOCKS = "block long, code int, segment string, n long, n_docs int, n_codes long, has_id binary, doc_ids binary, counts binary, codes binary"
+
+
+class Block:
+    """Documents as numbers of segments, and the segments they hold with their numbers of occurrences."""
+
+    def __init__(self):
+        self.places: dict[str, int] = {}
+        self.ids: list[int | None] = []
+        self.counts: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, both: Pair, ids: list[int | None], texts: list[str]) -> None:
+        self.held += sum(map(len, texts))
+        # a text that holds the sign for a space itself can't be given back: no tokens
+        texts = ["" if SPACE in t else t for t in texts]
+        raw, start, count = both.segments(texts)
+        offsets = np.append(start, len(raw)).astype(np.int64)
+        every = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        own = np.repeat([bool(t) for t in texts], count)
+        coded = every.filter(pa.array(own, pa.bool_())).dictionary_encode()
+        place = np.array([self.places.setdefault(s, len(self.places)) for s in coded.dictionary.to_pylist()], np.int64)
+        self.ids += ids
+        self.counts.append(np.where([bool(t) for t in texts], count, 0))
+        self.codes.append(place[coded.indices.to_numpy()].astype(np.uint32))
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """Frequent segments get small codes, which compress better."""
+        codes, count = np.concatenate(self.codes), np.concatenate(self.counts)
+        size = len(self.places)
+        n = np.bincount(codes, minlength=size)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        ids, known = np.array([d or 0 for d in self.ids], np.int64), np.array([d is not None for d in self.ids], np.uint8)
+        packed = [known.tobytes(), _squeezed(ids, "<i8"), _squeezed(count, "<i8"), _squeezed(place[codes], "<u4")]
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+        segments = pa.array(self.places, pa.string()).take(pa.array(order))
+        for at in range(0, size, SEGMENTS):
+            some = segments.slice(at, SEGMENTS)
+            numbers = [pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some)), pa.int32()), some, pa.array(n[order[at : at + SEGMENTS]])]
+            yield pa.RecordBatch.from_arrays([*numbers, *[pa.nulls(len(some), k) for k in kinds]], names=_names(_BLOCKS))
+        own = [pa.array([v], k) for v, k in zip([len(ids), len(codes), *packed], kinds)]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), *own], names=_names(_BLOCKS))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """Documents as numbers of segments: rows (block, code, segment, n) list a block's distinct segments and how often
-    they occur, and one row per block has its documents' ids and their segments' codes, compressed.
+    """Rows (block, code, segment, n) list a block's distinct segments and how often they occur; one more row per block
+    has its documents' ids and their segments' codes, compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pair(byte_level, pieces)
-        for rows, texts in _gathered_texts(batches):
-            # a text that holds the sign for a space itself can't be given back: no tokens
-            texts = ["" if SPACE in t else t for t in texts]
-            raw, start, count = both.segments(texts)
-            count[[i for i, t in enumerate(texts) if not t]] = 0
-            offsets = np.append(start, len(raw))
-            whole = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
-            filled = np.repeat([bool(t) for t in texts], [max(c, 1) for c in count.tolist()])
-            coded = whole.filter(pa.array(filled)).dictionary_encode()
-            codes = coded.indices.to_numpy()
-            n = np.bincount(codes, minlength=len(coded.dictionary))
-            order = np.argsort(-n, kind="stable")  # frequent segments get small codes, which compress better
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            block, size = uuid.uuid4().hex, len(order)
-            ids = np.array([0 if d is None else d for d in rows], np.int64)
-            known = np.array([d is not None for d in rows], np.uint8)
-            packed = (known.tobytes(), _squeezed(ids, "<i8"), _squeezed(count, "<i8"), _squeezed(place[codes], "<u4"))
-            none = [None] * size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (size + 1)),
-                    pa.array([*range(size), None], pa.int32()),
-                    pa.concat_arrays([coded.dictionary.take(pa.array(order)).cast(pa.string()), pa.nulls(1, pa.string())]),
-                    pa.array([*n[order].tolist(), None], pa.int64()),
-                    pa.array([*none, len(rows)], pa.int32()),
-                    pa.array([*none, len(codes)], pa.int64()),
-                    *[pa.array([*none, x], pa.binary()) for x in packed],
-                ],
-                names=["block", "code", "segment", "n", "n_docs", "n_codes", "has_id", "doc_ids", "counts", "codes"],
-            )
+        both, block, number = pair(byte_level, pieces), Block(), TaskContext.get().partitionId() << 32
+        for rows, texts in whole_texts(batches):
+            block.add(both, rows.column("doc_id").to_pylist(), texts)
+            if block.held >= BLOCK or len(block.places) >= DISTINCT:
+                yield from block.rows(number)
+                block, number = Block(), number + 1
+        if block.ids:
+            yield from block.rows(number)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
 
-def _gathered_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
-    """(ids, texts) of about ``BLOCK`` characters together."""
-    ids, texts, held = [], [], 0
-    for rows, some in whole_texts(batches, BLOCK):
-        ids += rows.column("doc_id").to_pylist()
-        texts += some
-        held += sum(map(len, some))
-        if held >= BLOCK:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def aligned(segments: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """segment, n, and its alignment: groups, n_a, n_b, links_a, links_b."""
 
@@ -223,26 +233,34 @@ def aligned(segments: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     return segments.mapInArrow(run, "segment string, n long, groups string, n_a long, n_b long, links_a array<int>, links_b array<int>")
 
 
+_OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+
+
 def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of one block from its segments' alignments."""
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-    kinds = [pa.int64()] * 7 + [pa.string()]
-    out: list[list] = [[] for _ in names]
+    """Documents of one block from its segments' alignments, ``packed`` as n_a/n_best/count_sum/groups."""
+    size = right.num_rows
     code = right.column("code").to_numpy()
-    slot = np.empty(len(code), np.int64)
-    slot[code] = np.arange(len(code))
-    numbers = {c: right.column(c).to_numpy()[slot] for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}
-    groups = np.array(right.column("groups").to_pylist(), object)[slot]
+    numbers, groups = np.empty((5, size), np.int64), np.empty(size, object)
+    for c, packed in zip(code.tolist(), right.column("packed").to_pylist()):
+        n_a, n_best, count, groups[c] = packed.split("/")
+        n, n_a = groups[c].count("|"), int(n_a)
+        numbers[:, c] = n_a, groups[c].count(",") + 2 * n - n_a, n, int(n_best), int(count)
+    out = []
     for row in left.to_pylist():
         ids, count = (_unsqueezed(row[c], row["n_docs"], "<i8") for c in ("doc_ids", "counts"))
         codes = _unsqueezed(row["codes"], row["n_codes"], "<u4")
         ends = np.cumsum(count)
-        out[0] += [d if k else None for d, k in zip(ids.tolist(), row["has_id"])]
-        for i, c in enumerate(("n_a", "n_b", "n_groups", "n_groups", "n_best", "count_sum"), 1):
-            upto = np.concatenate([[0], np.cumsum(numbers[c][codes])])
-            out[i] += (upto[ends] - upto[ends - count]).tolist()
-        out[7] += [";".join(groups[codes[a:b]].tolist()) for a, b in zip((ends - count).tolist(), ends.tolist())]
-    return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+        sums = []
+        for values in numbers:
+            upto = np.concatenate([[0], np.cumsum(values[codes])])
+            sums.append(upto[ends] - upto[ends - count])
+        for at in range(0, len(ids), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            text = [";".join(groups[codes[a:b]].tolist()) for a, b in zip((ends - count)[some].tolist(), ends[some].tolist())]
+            n = [pa.array(x[some]) for x in sums]
+            known = pa.array(ids[some], pa.int64(), mask=np.frombuffer(row["has_id"], np.uint8)[some] == 0)
+            out.append(pa.RecordBatch.from_arrays([known, n[0], n[1], n[2], n[2], n[3], n[4], pa.array(text, pa.string())], names=_names(_OUT)))
+    return pa.Table.from_batches(out)
 
 
 def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -272,13 +290,13 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     pairs = pairs.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("b")))
     pairs = materialize(pairs, "pairs")
     scored = links.join(pairs, ["a", "b"]).groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    scored = known.select("segment", "groups", "n_a", "n_b", F.size("links_a").alias("n_groups")).join(scored, "segment")
+    scored = known.select("segment", "groups", "n_a").join(scored, "segment").select("segment", F.concat_ws("/", *[F.col(c).cast("string") for c in ("n_a", "n_best", "count_sum", "groups")]).alias("packed"))
     scored = materialize(scored, "scored")
     discard(known, pairs)
     back = listed.select(F.col("block").alias("of"), "code", "segment").join(scored, "segment").drop("segment")
     whole = held.where("codes IS NOT NULL").drop("code", "segment", "n")
     composed = whole.groupBy("block").cogroup(back.groupBy("of"))
-    return composed.applyInArrow(_composed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    return composed.applyInArrow(_composed, _OUT)
 
 
 def alignments(docs: DataFrame, byte_level: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model") -> DataFrame:

@@ -180,17 +180,21 @@ def test_segments_align_as_whole_texts_do():
     assert [both.segments(["x;\ry"])[2][0], both.segments(["x y"])[2][0]] == [1, 2]
 
 
-def test_blocks_follow_the_limit(docs, monkeypatch):
-    """Texts are gathered up to the limit, and whatever the blocks are, all rows are in one."""
-    batches = docs.select("doc_id", "text").toArrow().to_batches(max_chunksize=7)
-    for limit in (1, 100, 10_000_000):
-        monkeypatch.setattr(align, "BLOCK", limit)
-        ids, sizes = [], []
-        for some, texts in align._gathered_texts(iter(batches)):
-            ids += some
-            sizes.append(sum(map(len, texts)))
-        assert key(ids) == key(r.doc_id for r in docs.select("doc_id").collect())
-        assert all(n >= limit for n in sizes[:-1])
+def test_blocks_hold_every_document(docs, texts):
+    both = align.pair(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    block = align.Block()
+    for i in range(0, len(texts), 50):
+        some = [t or "" for t in texts[i : i + 50]]
+        block.add(both, list(range(i, i + len(some))), some)
+    *listed, last = [r for b in block.rows(5) for r in b.to_pylist()]
+    assert [r["code"] for r in listed] == list(range(len(listed))) and {r["block"] for r in listed} == {5}
+    counts = align._unsqueezed(last["counts"], last["n_docs"], "<i8").tolist()
+    codes = align._unsqueezed(last["codes"], last["n_codes"], "<u4").tolist()
+    assert [r["n"] for r in listed] == [n for _, n in sorted(collections.Counter(codes).items())]
+    at = 0
+    for t, n in zip(texts, counts):
+        assert "".join(listed[c]["segment"] for c in codes[at : at + n]) == (" " + t if t and "▁" not in t else "")
+        at += n
 
 
 # op 11
