@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .common import discard, materialize, prepare
 from .tokens import _BYTE_LETTERS, vocabulary
 
 #: Characters of text whose segments share one list (a block), and distinct segments at which a block ends.
-BLOCK, DISTINCT = 1 << 26, 1 << 20
+BLOCK, DISTINCT = 1 << 26, 1 << 19
 #: White space before which texts may be split.
 SPLITS = "\t\n\r "
 #: How the second vocabulary writes a space.
@@ -238,13 +239,14 @@ _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best lon
 
 def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of one block from its segments' alignments, ``packed`` as n_a/n_best/count_sum/groups."""
-    size = right.num_rows
-    code = right.column("code").to_numpy()
-    numbers, groups = np.empty((5, size), np.int64), np.empty(size, object)
-    for c, packed in zip(code.tolist(), right.column("packed").to_pylist()):
-        n_a, n_best, count, groups[c] = packed.split("/")
-        n, n_a = groups[c].count("|"), int(n_a)
-        numbers[:, c] = n_a, groups[c].count(",") + 2 * n - n_a, n, int(n_best), int(count)
+    order = pa.array(np.argsort(right.column("code").to_numpy(), kind="stable"))
+    fields = pc.split_pattern(right.column("packed").combine_chunks(), "/")
+    flat = fields.chunk(0).flatten() if isinstance(fields, pa.ChunkedArray) else fields.flatten()
+    at = np.arange(right.num_rows) * 4
+    n_a, n_best, count_sum = (flat.take(pa.array(at + i)).cast(pa.int64()).take(order).to_numpy() for i in range(3))
+    groups = flat.take(pa.array(at + 3)).take(order)
+    n = pc.count_substring(groups, "|").to_numpy()
+    numbers = [n_a, pc.count_substring(groups, ",").to_numpy() + 2 * n - n_a, n, n_best, count_sum]
     out = []
     for row in left.to_pylist():
         ids, count = (_unsqueezed(row[c], row["n_docs"], "<i8") for c in ("doc_ids", "counts"))
@@ -252,14 +254,16 @@ def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
         ends = np.cumsum(count)
         sums = []
         for values in numbers:
-            upto = np.concatenate([[0], np.cumsum(values[codes])])
+            upto = np.concatenate([[0], np.cumsum(values[codes], dtype=np.int64)])
             sums.append(upto[ends] - upto[ends - count])
         for at in range(0, len(ids), TOGETHER):
             some = slice(at, at + TOGETHER)
-            text = [";".join(groups[codes[a:b]].tolist()) for a, b in zip((ends - count)[some].tolist(), ends[some].tolist())]
+            first = int(ends[at] - count[at])
+            own = groups.take(pa.array(codes[first : int(ends[some][-1])]))
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, ends[some]) - first, pa.int32()), own), ";")
             n = [pa.array(x[some]) for x in sums]
             known = pa.array(ids[some], pa.int64(), mask=np.frombuffer(row["has_id"], np.uint8)[some] == 0)
-            out.append(pa.RecordBatch.from_arrays([known, n[0], n[1], n[2], n[2], n[3], n[4], pa.array(text, pa.string())], names=_names(_OUT)))
+            out.append(pa.RecordBatch.from_arrays([known, n[0], n[1], n[2], n[2], n[3], n[4], text], names=_names(_OUT)))
     return pa.Table.from_batches(out)
 
 
