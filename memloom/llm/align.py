@@ -18,7 +18,7 @@ from .common import discard, materialize, prepare
 from .tokens import _BYTE_LETTERS, vocabulary
 
 #: Characters of text whose segments share one list (a block), and distinct segments at which a block ends.
-BLOCK, DISTINCT = 1 << 26, 1 << 19
+BLOCK, DISTINCT = 1 << 26, 1 << 20
 #: White space before which texts may be split.
 SPLITS = "\t\n\r "
 #: How the second vocabulary writes a space.
@@ -284,7 +284,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     count one by one; a null doc_id stays null; other columns are ignored; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
-    held = materialize(blocks(docs, byte_level, pieces), "blocks")
+    held = materialize(blocks(docs, byte_level, pieces), "blocks", "zstd")
     listed = held.where("segment IS NOT NULL").select("block", "code", "segment", "n")
     once = listed.groupBy("segment").agg(F.sum("n").alias("n"))
     known = materialize(aligned(once, byte_level, pieces), "alignments")
@@ -295,7 +295,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     scored = links.join(pairs, ["a", "b"]).groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
     scored = known.select("segment", "groups", "n_a").join(scored, "segment").select("segment", F.concat_ws("/", *[F.col(c).cast("string") for c in ("n_a", "n_best", "count_sum", "groups")]).alias("packed"))
-    scored = materialize(scored, "scored")
+    scored = materialize(scored, "scored", "zstd")
     discard(known, pairs)
     back = listed.select(F.col("block").alias("of"), "code", "segment").join(scored, "segment").drop("segment")
     whole = held.where("codes IS NOT NULL").drop("code", "segment", "n")
