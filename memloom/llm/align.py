@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codepoints import BLANKS, byte_sizes, code_points, gathered, together, whole_texts
-from .common import discard, materialize, prepare
+from .common import discard, materialize, parallelism, prepare
 from .tokens import _BYTE_LETTERS, vocabulary
 
-#: Characters of text whose segments share one list (a block), and distinct segments at which a block ends.
-BLOCK, DISTINCT = 1 << 26, 1 << 20
+#: Characters of text whose segments share one list (a block), distinct segments at which a block ends, and characters that are cut at a time.
+BLOCK, DISTINCT, PIECE = 1 << 26, 1 << 20, 1 << 20
 #: White space before which texts may be split.
 SPLITS = "\t\n\r "
 #: How the second vocabulary writes a space.
@@ -211,11 +211,12 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, block, number = pair(byte_level, pieces), Block(), TaskContext.get().partitionId() << 32
-        for rows, texts in whole_texts(batches):
+        for rows, texts in whole_texts(batches, PIECE):
             block.add(both, rows.column("doc_id").to_pylist(), texts)
             if block.held >= BLOCK or len(block.places) >= DISTINCT:
                 yield from block.rows(number)
                 block, number = Block(), number + 1
+                pa.default_memory_pool().release_unused()
         if block.ids:
             yield from block.rows(number)
 
@@ -237,34 +238,52 @@ def aligned(segments: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-def _composed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Documents of one block from its segments' alignments, ``packed`` as n_a/n_best/count_sum/groups."""
-    order = pa.array(np.argsort(right.column("code").to_numpy(), kind="stable"))
-    fields = pc.split_pattern(right.column("packed").combine_chunks(), "/")
-    flat = fields.chunk(0).flatten() if isinstance(fields, pa.ChunkedArray) else fields.flatten()
-    at = np.arange(right.num_rows) * 4
-    n_a, n_best, count_sum = (flat.take(pa.array(at + i)).cast(pa.int64()).take(order).to_numpy() for i in range(3))
-    groups = flat.take(pa.array(at + 3)).take(order)
+def _composed(row: dict, packed: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Documents of one block from its segments' alignments, in order of code, as n_a/n_best/count_sum/groups."""
+    fields = pc.split_pattern(packed, "/").flatten()
+    at = np.arange(len(packed)) * 4
+    n_a, n_best, count_sum = (fields.take(pa.array(at + i)).cast(pa.int64()).to_numpy() for i in range(3))
+    groups = fields.take(pa.array(at + 3))
+    del fields
     n = pc.count_substring(groups, "|").to_numpy()
     numbers = [n_a, pc.count_substring(groups, ",").to_numpy() + 2 * n - n_a, n, n_best, count_sum]
-    out = []
-    for row in left.to_pylist():
-        ids, count = (_unsqueezed(row[c], row["n_docs"], "<i8") for c in ("doc_ids", "counts"))
-        codes = _unsqueezed(row["codes"], row["n_codes"], "<u4")
-        ends = np.cumsum(count)
-        sums = []
-        for values in numbers:
-            upto = np.concatenate([[0], np.cumsum(values[codes], dtype=np.int64)])
-            sums.append(upto[ends] - upto[ends - count])
-        for at in range(0, len(ids), TOGETHER):
-            some = slice(at, at + TOGETHER)
-            first = int(ends[at] - count[at])
-            own = groups.take(pa.array(codes[first : int(ends[some][-1])]))
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, ends[some]) - first, pa.int32()), own), ";")
-            n = [pa.array(x[some]) for x in sums]
-            known = pa.array(ids[some], pa.int64(), mask=np.frombuffer(row["has_id"], np.uint8)[some] == 0)
-            out.append(pa.RecordBatch.from_arrays([known, n[0], n[1], n[2], n[2], n[3], n[4], text], names=_names(_OUT)))
-    return pa.Table.from_batches(out)
+    ids, count = (_unsqueezed(row[c], row["n_docs"], "<i8") for c in ("doc_ids", "counts"))
+    codes, known = _unsqueezed(row["codes"], row["n_codes"], "<u4"), np.frombuffer(row["has_id"], np.uint8)
+    ends = np.cumsum(count)
+    for at in range(0, len(ids), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        first = int(ends[at] - count[at])
+        own, upto = codes[first : int(ends[some][-1])], ends[some] - first
+        sums = [np.concatenate([[0], np.cumsum(x[own], dtype=np.int64)]) for x in numbers]
+        n = [pa.array(x[upto] - x[upto - count[some]]) for x in sums]
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, upto), pa.int32()), groups.take(pa.array(own))), ";")
+        doc = pa.array(ids[some], pa.int64(), mask=known[some] == 0)
+        yield pa.RecordBatch.from_arrays([doc, n[0], n[1], n[2], n[2], n[3], n[4], text], names=_names(_OUT))
+
+
+def composed(rows: DataFrame) -> DataFrame:
+    """Documents from ``rows`` of whole blocks in order: of each block first its documents, then its segments' alignments by code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, packed = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if row is not None:
+                yield from _composed(row, pa.concat_arrays([pa.array([], pa.string()), *packed]))
+                packed.clear()
+                pa.default_memory_pool().release_unused()
+
+        for batch in together(batches, SEGMENTS):
+            begins = np.flatnonzero(batch.column("code").is_null().to_numpy(zero_copy_only=False)).tolist()
+            bounds = [0, *begins, batch.num_rows]
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                if i:  # a block starts
+                    yield from done()
+                    row, a = batch.slice(a, 1).to_pylist()[0], a + 1
+                packed.append(batch.column("packed").slice(a, b - a))
+        yield from done()
+
+    return rows.mapInArrow(run, _OUT)
 
 
 def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -297,10 +316,10 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     scored = known.select("segment", "groups", "n_a").join(scored, "segment").select("segment", F.concat_ws("/", *[F.col(c).cast("string") for c in ("n_a", "n_best", "count_sum", "groups")]).alias("packed"))
     scored = materialize(scored, "scored", "zstd")
     discard(known, pairs)
-    back = listed.select(F.col("block").alias("of"), "code", "segment").join(scored, "segment").drop("segment")
-    whole = held.where("codes IS NOT NULL").drop("code", "segment", "n")
-    composed = whole.groupBy("block").cogroup(back.groupBy("of"))
-    return composed.applyInArrow(_composed, _OUT)
+    back = listed.select("block", "code", "segment").join(scored, "segment").drop("segment")
+    whole = held.where("codes IS NOT NULL").drop("segment", "n")
+    rows = whole.unionByName(back, allowMissingColumns=True)
+    return composed(rows.repartition(parallelism(docs.sparkSession), "block").sortWithinPartitions("block", "code"))
 
 
 def alignments(docs: DataFrame, byte_level: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model") -> DataFrame:
