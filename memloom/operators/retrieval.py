@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .vector_index import VectorIndex
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -61,11 +62,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(questions: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(user_id, qid, key, cosine, rank) of the k nearest memories that have an embedding; none for k <= 0."""
-    q = questions.where("embedding IS NOT NULL").select("user_id", "qid", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nq"))
-    m = memories.where("embedding IS NOT NULL").select("user_id", "key", F.col("embedding").alias("m"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nm"))
-    both = q.join(m, "user_id").select("user_id", "qid", "key", (dot(F.col("q"), F.col("m")) / (F.col("nq") * F.col("nm"))).alias("cosine"))
-    return top_k(both, ["user_id", "qid"], [F.round("cosine", 9).desc(), F.col("key")], max(0, k))
+    """(user_id, qid, key, cosine, rank) of the k nearest memories that have an embedding; none for k <= 0.
+
+    An index is built for the call; to ask more than once, keep a ``VectorIndex``. Null, zero and non-finite embeddings have no neighbours.
+    """
+    return VectorIndex.build(memories).search(questions, k)
 
 
 def lexical_topk(questions: DataFrame, memories: DataFrame, k: int) -> DataFrame:

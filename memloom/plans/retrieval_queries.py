@@ -110,7 +110,7 @@ def lexical_fallback(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, key) AS rank FROM s) SELECT user_id, count(*) AS selected, round(avg(c), 6) AS mean_cosine FROM r WHERE rank <= 5 GROUP BY 1""")
 def rag_topk_per_user(spark: SparkSession, d: str) -> DataFrame:
     q, m = dense(spark, d)
-    pairs = R.cosine_topk(q, m, 1_000_000).where("qid <> key").drop("rank")
+    pairs = R.cosine_topk(q, m, 5 + 1).where("qid <> key").drop("rank")  # a question may find itself
     top = R.top_k(pairs, ["user_id", "qid"], [F.round("cosine", 9).desc(), F.col("key")], 5)
     return top.groupBy("user_id").agg(F.count(F.lit(1)).alias("selected"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
 
