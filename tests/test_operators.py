@@ -246,7 +246,7 @@ def test_flow_end_to_end(spark, tmp_path):
 
 
 def test_memory_table(spark, tmp_path):
-    t = tables.MemoryTable(spark, f"{tmp_path}/m")
+    t = tables.MemoryTable(spark, f"{tmp_path}/m", 4)
     at = lambda d: datetime.datetime(2024, 1, d)
     meta = ("s", "k1", "ADD", 1, "", "", "", "", "")
     row = lambda i, u, text, d, e: (i, u, "SHORT", 0, text, meta, e, at(d), at(d))
