@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WORD_TOKEN
+
 _TOKEN = re.compile(r"[a-zA-Z0-9']+")
 
 
@@ -21,6 +23,11 @@ def _clean(text: str) -> str:
     return " ".join(re.sub(r"[^a-zA-Z0-9\\s']+", " ", (text or "").strip().lower()).split())
 
 
+def token_set(text: str | None) -> set[str]:
+    """As ``text.token_set``."""
+    return {t.lower() for t in re.findall(WORD_TOKEN, text or "")}
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Larger of the sequence ratio (of a against b, not symmetric) and the token Jaccard of the cleaned texts."""
     a, b = _clean(a), _clean(b)

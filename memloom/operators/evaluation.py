@@ -90,16 +90,46 @@ def systematic_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     return row_numbers(rows, order).where((F.col("rn") % step == 0) & (F.col("rn") / step < n)).drop("total")
 
 
-def nearest_rank(values: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles by nearest rank round((n - 1) * p), halves to even, with min, max and the mean to one place.
+#: Ranges of a histogram.
+RANGES = 1024
+
+
+def order_statistics(values: DataFrame, value: str, ranks: dict[str, int]) -> dict[str, object]:
+    """The values at places (from 0) of the column in order, found by counting ranges.
 
-    Ranks come from counts per distinct value.
+    Each round is one pass: the range that is known to hold a rank is cut into ``RANGES`` parts, whose counts, least and greatest
+    values come back, and the part with the rank is the next round's range; it ends when that holds one value. Nothing is
+    sorted, and what comes back doesn't grow with the data. Values are finite numbers that a double tells apart; nulls aren't counted.
     """
-    counts = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.select("v", "c", F.sum("c").over(Window.orderBy("v")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    rank = lambda p: F.bround((F.col("n") - 1) * F.lit(p), 0).cast("long")
-    pick = [F.max(F.when((rank(p) < F.col("upto")) & (rank(p) >= F.col("upto") - F.col("c")), F.col("v"))).alias(name) for name, p in shares.items()]
-    return upto.agg(F.min("v").alias("min"), *pick, F.max("v").alias("max"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 1).alias("mean"))
+    v = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    lowest, highest = v.agg(F.min("v"), F.max("v")).first()
+    open_ranks = {name: (rank, lowest, highest) for name, rank in ranks.items()}
+    out = {name: low for name, (_, low, high) in open_ranks.items() if float(low) == float(high)}
+    while todo := {name: r for name, r in open_ranks.items() if name not in out}:
+        spans = sorted({(low, high) for _, low, high in todo.values()})
+        inside = [F.when(F.col("v").between(low, high), F.struct(F.lit(i).alias("span"), F.least(F.lit(RANGES - 1), F.floor((F.col("v") - F.lit(low)).cast("double") * RANGES / float(high - low))).cast("int").alias("part"))) for i, (low, high) in enumerate(spans)]
+        parts = v.select("v", F.explode(F.array_compact(F.array(*inside))).alias("s")).groupBy("s.span", "s.part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        counted = sorted(parts.collect(), key=lambda r: (r.span, r.part))
+        for name, (rank, *span) in todo.items():
+            for r in counted:
+                if spans[r.span] != tuple(span):
+                    continue
+                if rank < r.n:
+                    open_ranks[name] = (rank, r.low, r.high)
+                    if float(r.low) == float(r.high):
+                        out[name] = r.low
+                    break
+                rank -= r.n
+    return out
+
+
+def nearest_rank(values: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles by nearest rank round((n - 1) * p), halves to even, with min, max and the mean to one place; nulls without values."""
+    kind = values.select(value).schema[0].dataType.simpleString()
+    whole = values.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.sum(value) / F.nullif(F.count(value), F.lit(0)), 1).cast("double").alias("mean")).first()
+    found = order_statistics(values, value, {name: round((whole.n - 1) * p) for name, p in shares.items()}) if whole.n else dict.fromkeys(shares)
+    row = (whole["min"], *[found[name] for name in shares], whole["max"], whole["mean"])
+    return values.sparkSession.createDataFrame([row], ", ".join(f"{c} {kind}" for c in ("min", *shares, "max")) + ", mean double")
 
 
 def accuracy(records: DataFrame, score: str) -> DataFrame:

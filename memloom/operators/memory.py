@@ -129,6 +129,11 @@ def free_ids(used: DataFrame, wanted: DataFrame) -> DataFrame:
     return spare.withColumn("k", k.cast("long")).where("k <= n").select("user_id", "k", F.col("number").cast("string").alias("id"))
 
 
+def _null_is_a_user(f: Callable[..., DataFrame], *frames: DataFrame) -> DataFrame:
+    """``f`` of frames whose user_id is wrapped in a struct: structs of null are equal, so rows of a null user join like others'."""
+    return f(*[d.withColumn("user_id", F.struct("user_id")) for d in frames]).withColumn("user_id", F.col("user_id.user_id"))
+
+
 def decide(old: DataFrame, facts: DataFrame, similarity: Callable[[Column, Column], Column] = jaccard_similarity, with_time: bool = True) -> DataFrame:
     """Operations of one session per user from ``facts(user_id, arrival, text, type, anchor_time)``.
 
@@ -137,7 +142,12 @@ def decide(old: DataFrame, facts: DataFrame, similarity: Callable[[Column, Colum
     contradicting times (update, the best per memory; others are dropped), or new (add); below ``RELATED`` it doesn't matter
     which memory is nearest, so Jaccard runs as a set join (``related``). pos tells a user's memories apart. A text that an earlier
     fact of the session adds says nothing again. Updates come first, by similarity; adds get the smallest free numbers.
+    Rows with a null user_id are one user's.
     """
+    return _null_is_a_user(lambda o, f: _decide(o, f, similarity, with_time), old, facts)
+
+
+def _decide(old: DataFrame, facts: DataFrame, similarity: Callable[[Column, Column], Column], with_time: bool) -> DataFrame:
     facts = facts.where(blank("text") != "").select("user_id", "arrival", blank("text").alias("fact"), F.lower(blank("type")).alias("fact_type"), blank("anchor_time").alias("now"))
     old = old.where((blank("id") != "") & (blank("text") != ""))
     known = old.select("user_id", F.lower(blank("text")).alias("low")).distinct()
@@ -329,6 +339,8 @@ SLOT_PATTERNS = [
     ("recommended", r"\bCaroline recommends ['\"]([^'\"]+)['\"]"),
     ("recommended", r"\bCaroline's favorite book is ['\"]([^'\"]+)['\"]"),
 ]
+#: Patterns whose values may stand in quotation marks.
+QUOTED = [p for _, p in SLOT_PATTERNS if p.startswith((r"\bconcert (?:featured", r"\bconcert by"))]
 BOUGHT = r"(?i)\b(?:bought|purchased|picked up|got) (?:some |a |an |the )?(.+?)(?: yesterday| last| this| from| at| for|\.|$)"
 BOUGHT_NOUNS = "book books bowl bowls cup figurine figurines painting paintings plate pot pots shoes slipper slippers".split()
 BOOK_READ = ("melanie is reading the book caroline recommended", "melanie has been reading a book caroline recommended")
@@ -361,7 +373,7 @@ def slot_values(memories: DataFrame) -> DataFrame:
 
     def patterns(slot):
         # by text first, then by pattern
-        each = [pick(s, p) for s, p in SLOT_PATTERNS if s == slot]
+        each = [F.transform(pick(s, p), lambda found: F.transform(found, lambda v: F.btrim(v, F.lit("'\"")))) if p in QUOTED else pick(s, p) for s, p in SLOT_PATTERNS if s == slot]
         by_text = each[0]
         for e in each[1:]:
             by_text = F.zip_with(by_text, e, lambda a, b: F.concat(a, b))
@@ -388,8 +400,12 @@ def slot_values(memories: DataFrame) -> DataFrame:
 def slot_operations(memories: DataFrame, anchors: DataFrame) -> DataFrame:
     """Operations that keep one derived row per slot: ADD, UPDATE where its text changed, nothing else.
 
-    ``anchors(user_id, anchor_time)`` gives the session's time for new rows.
+    ``anchors(user_id, anchor_time)`` gives the session's time for new rows. Rows with a null user_id are one user's.
     """
+    return _null_is_a_user(_slot_operations, memories, anchors)
+
+
+def _slot_operations(memories: DataFrame, anchors: DataFrame) -> DataFrame:
     prefix = F.create_map(*[F.lit(x) for kv in SLOT_PREFIXES.items() for x in kv])
     want = slot_values(memories).select("user_id", "at", prefix[F.col("slot")].alias("prefix"), F.concat(prefix[F.col("slot")], F.col("value"), F.lit(".")).alias("text"))
     held = memories.select(F.col("user_id").alias("held_by"), "pos", "id", blank("text").alias("held"), "anchor_time")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpointed
 from .vector_index import VectorIndex
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -70,11 +71,23 @@ def cosine_topk(questions: DataFrame, memories: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_topk(questions: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(user_id, qid, key, score, rank) by the share of the question's content words; zero scores stay in."""
-    q = questions.select("user_id", "qid", T.content_tokens(F.col("text")).alias("q"))
-    m = memories.select("user_id", "key", T.content_tokens(F.col("text")).alias("m"))
-    both = q.join(m, "user_id").select("user_id", "qid", "key", T.overlap_share(F.col("q"), F.col("m")).alias("score"))
-    return top_k(both, ["user_id", "qid"], [F.col("score").desc(), F.col("key")], k)
+    """(user_id, qid, key, score, rank) by the share of the question's content words; zero scores stay in.
+
+    Only memories that share a word are scored, through (user, word). A question that has fewer than k of them is filled
+    up with the user's first keys that aren't among them, which are among the first k keys. Keys are unique per user.
+    """
+    words = lambda c: F.array_distinct(T.content_tokens(F.col(c)))
+    asked = questions.select("user_id", "qid", words("text").alias("words"))
+    terms = asked.select("user_id", "qid", F.size("words").alias("n"), F.explode("words").alias("term"))
+    postings = memories.select("user_id", "key", F.explode(words("text")).alias("term"))
+    shared = terms.join(postings, ["user_id", "term"]).groupBy("user_id", "qid", "n", "key").agg(F.count(F.lit(1)).alias("c"))
+    order = [F.col("score").desc(), F.col("key")]
+    scored = checkpointed(top_k(shared.select("user_id", "qid", "key", (F.col("c") / F.col("n")).alias("score")), ["user_id", "qid"], order, k))
+    found = scored.groupBy("user_id", "qid").agg(F.max("rank").alias("found"))
+    short = asked.join(found, ["user_id", "qid"], "left").where(F.coalesce("found", F.lit(0)) < k).select("user_id", "qid")
+    first = top_k(memories.select("user_id", "key"), ["user_id"], [F.col("key")], k).drop("rank")
+    fill = short.join(first, "user_id").join(scored.select("user_id", "qid", "key"), ["user_id", "qid", "key"], "left_anti")
+    return top_k(scored.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0))), ["user_id", "qid"], order, k)
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -98,7 +111,7 @@ def hybrid_recall(questions: DataFrame, memories: DataFrame, k: int, recall_k: i
     """
     deep = max(k, recall_k)
     sparse, dense = bm25_topk(questions, memories, deep), cosine_topk(questions, memories, deep)
-    fused = top_k(rrf([sparse, dense], rrf_k), ["user_id", "qid"], [F.round("rrf", 12).desc(), F.col("key")], k)
+    fused = checkpointed(top_k(rrf([sparse, dense], rrf_k), ["user_id", "qid"], [F.round("rrf", 12).desc(), F.col("key")], k))
     missed = questions.join(fused.select("user_id", "qid").distinct(), ["user_id", "qid"], "left_anti")
     spare = lexical_topk(missed, memories, k).select("user_id", "qid", "key", F.lit(0.0).alias("rrf"), "rank")
     return fused.select("user_id", "qid", "key", "rrf", "rank").unionByName(spare)

@@ -71,6 +71,12 @@ def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return E.nearest_rank(tokens, "tokens", {"p50": 0.5, "p90": 0.9})
 
 
+@query("""WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem)
+SELECT min(v) AS min, max(CASE WHEN i = round_even((n - 1) * CAST(0.05 AS DOUBLE), 0) THEN v END) AS p5, max(CASE WHEN i = round_even((n - 1) * CAST(0.5 AS DOUBLE), 0) THEN v END) AS p50, max(CASE WHEN i = round_even((n - 1) * CAST(0.99 AS DOUBLE), 0) THEN v END) AS p99, max(v) AS max, round(avg(v), 1) AS mean FROM r""")
+def price_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return E.nearest_rank(table(spark, d, "lineitem"), "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p99": 0.99})
+
+
 @query("WITH r AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS total FROM documents) SELECT doc_id, n_chars FROM r WHERE rn % greatest(1, total // 16) = 0 AND rn // greatest(1, total // 16) < 16")
 def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
     return E.systematic_sample(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 16).select("doc_id", "n_chars")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import similarity
+from ..functions.udfs import similarity, token_set
 
 OUT = "user_id string, session long, id string, text string, event string"
 STATE = "next long, memory string, waiting string"
@@ -35,8 +35,7 @@ def fold_session(memory: list[dict], facts: list[dict], same: float = 0.92, rela
         score, place = max(scored, default=(0.0, 0))
         if score >= same:
             continue
-        words = lambda t: set(t.lower().split())
-        if score >= related and (fact["type"] == "plan" or score >= 0.75 and len(words(text) - words(start[-place]["text"])) >= 2):
+        if score >= related and (fact["type"] == "plan" or score >= 0.75 and len(token_set(text) - token_set(start[-place]["text"])) >= 2):
             target = start[-place]["id"]
             if target not in best or score > best[target][0]:
                 best[target] = (score, text)

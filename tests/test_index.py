@@ -8,6 +8,7 @@ import threading
 import numpy as np
 import pytest
 
+from memloom.operators import retrieval
 from memloom.operators.vector_index import VectorIndex
 from memloom.sources import tables
 
@@ -197,3 +198,18 @@ def test_keys_must_not_be_null(spark, tmp_path):
     with pytest.raises(Exception, match="a memory without user_id"):
         t.upsert(memory_rows(spark, [(None, "1", "a", 1)]))
     assert t.refresh().version == 0 and t.read().count() == 0
+
+
+def test_lexical_topk_scores_only_what_shares_a_word(spark):
+    rnd = random.Random(5)
+    vocab = [f"word{i}" for i in range(40)]
+    rows = [(rnd.choice(["u", "v"]), i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 4))) or None) for i in range(120)] + [("w", 1, "word1"), ("w", 2, "")]
+    asked = [(u, q, " ".join(rnd.choice(vocab) for _ in range(q)) or None) for u in ("u", "v", "w", "x") for q in range(4)]
+    m, q = spark.createDataFrame(rows, "user_id string, key int, text string"), spark.createDataFrame(asked, "user_id string, qid int, text string")
+    for k in (1, 5, 200):
+        want = {}
+        for user, qid, text in asked:
+            words = set((text or "").split())
+            near = sorted((-len(words & set((t or "").split())) / max(1, len(words)), key) for u, key, t in rows if u == user)
+            want |= {(user, qid, rank): (key, -score) for rank, (score, key) in enumerate(near[:k], 1)}
+        assert {(r.user_id, r.qid, r["rank"]): (r.key, r.score) for r in retrieval.lexical_topk(q, m, k).collect()} == want
