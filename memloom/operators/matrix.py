@@ -15,7 +15,7 @@ def plan_runs(models: DataFrame, backends: DataFrame, add_repeats: int, search_r
     """
     adds = models.select("model", F.explode(F.sequence(F.lit(1), F.lit(add_repeats))).alias("repeat"))
     add = adds.select("model", "repeat", F.lit("").alias("backend"), F.lit(0).alias("search_repeat"), F.lit(True).alias("is_add"), F.format_string("%s_add%02d", "model", "repeat").alias("run_id"))
-    each = adds.join(F.broadcast(backends.select("backend"))).withColumn("search_repeat", F.explode(F.sequence(F.lit(1), F.lit(search_repeats))))
+    each = adds.join(backends.select("backend")).withColumn("search_repeat", F.explode(F.sequence(F.lit(1), F.lit(search_repeats))))
     search = each.select("model", "repeat", "backend", "search_repeat", F.lit(False).alias("is_add"), F.format_string("%s_add%02d_%s_s%02d", "model", "repeat", "backend", "search_repeat").alias("run_id"))
     return add.unionByName(search)
 

@@ -14,7 +14,7 @@ def complete(units: DataFrame, definitions: DataFrame, raw: DataFrame, keys: lis
     ``definitions(rubric)`` is a small dimension; ``raw(*keys, rubric, pos, score)`` is what judges returned.
     """
     first = raw.groupBy(*keys, "rubric").agg(F.min_by("score", "pos").alias("score"))
-    grid = units.select(*keys).distinct().join(F.broadcast(definitions.select("rubric")))
+    grid = units.select(*keys).distinct().join(definitions.select("rubric"))
     scored = grid.join(first.withColumn("score", score), [*keys, "rubric"], "left")
     return scored.withColumn("score", F.coalesce(F.col("score"), F.lit(0).cast("double")))
 
@@ -35,7 +35,7 @@ def weighted_capped(units: DataFrame, definitions: DataFrame, raw: DataFrame, ke
 
     ``definitions(rubric, weight, is_gate)``.
     """
-    rows = complete(units, definitions, raw, keys, S.clamp(F.col("score"))).join(F.broadcast(definitions), "rubric")
+    rows = complete(units, definitions, raw, keys, S.clamp(F.col("score"))).join(definitions, "rubric")
     weighted = F.sum(F.col("weight") * F.col("score")) / F.sum("weight")
     shut = F.coalesce(F.min(F.when(F.col("is_gate"), F.col("score"))) <= F.lit(gate), F.lit(False))
     out = rows.groupBy(*keys).agg(F.round(weighted, 4).alias("mean"), shut.alias("shut"))
@@ -113,7 +113,7 @@ def item_scores(items: DataFrame, definitions: DataFrame, raw: DataFrame) -> Dat
     of repeated judgements the first counts, and a missing one is not evaluable.
     """
     first = raw.groupBy("model", "item", "rubric").agg(F.min_by(F.struct("evaluable", "score"), "pos").alias("r"))
-    grid = items.join(F.broadcast(definitions), "type").join(first, ["model", "item", "rubric"], "left")
+    grid = items.join(definitions, "type").join(first, ["model", "item", "rubric"], "left")
     ok = F.coalesce(F.col("r.evaluable"), F.lit(False))
     return grid.groupBy("model", "type", "rubric").agg(F.count(F.lit(1)).alias("objects"), F.count_if(ok).alias("evaluable"), F.round(F.avg(F.when(ok, S.clamp(F.col("r.score")))), 4).alias("mean"))
 

@@ -182,7 +182,7 @@ SELECT id, a AS anchor, CASE
 def resolve_relative(spark: SparkSession, d: str) -> DataFrame:
     anchors = table(spark, d, "orders").select("o_orderdate").distinct().select(F.to_date("o_orderdate").alias("anchor"))
     found = dates.resolve_relative(F.col("t"), F.col("anchor"))
-    return anchors.distinct().join(F.broadcast(inline(spark, _PHRASES, "id int, t string"))).select("id", "anchor", F.coalesce(found["value"], F.lit("")).alias("value"))
+    return anchors.distinct().join(inline(spark, _PHRASES, "id int, t string")).select("id", "anchor", F.coalesce(found["value"], F.lit("")).alias("value"))
 
 
 _ANCHORS = [
