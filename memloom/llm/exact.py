@@ -19,7 +19,7 @@ def exact_classes(docs: DataFrame, content_hash=F.md5) -> DataFrame:
     Texts are equal when identical after lower-casing A-Z; the largest doc_id of equal texts stays. Grouping is by
     (128-bit hash, bytes), so a hash collision can't join different texts, and each map task hands on one row per
     text it holds, so a group of any size stays small. The rows then find their class by hash alone; only classes
-    that share a hash with another are looked up by their bytes. Rows that repeat a doc_id count one by one; a null
+    that share a hash with another are told apart by SHA-256. Rows that repeat a doc_id count one by one; a null
     doc_id is below all others; null text is empty.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
