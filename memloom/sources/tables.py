@@ -92,7 +92,8 @@ class MemoryTable:
         fs, p = self._log(0)
         numbers = sorted(int(f.getPath().getName()[:20]) for f in fs.listStatus(p.getParent()) if f.getPath().getName().endswith(".json"))
         found = {r.value: r.path for r in self.spark.read.text(f"{self.path}/log/*.json", wholetext=True).select("value", F.input_file_name().alias("path")).collect()}
-        self.log = {int(path.rsplit("/", 1)[1][:20]): json.loads(text) for text, path in found.items()}
+        # a writer that was lost before it wrote its entry has taken a number and nothing else
+        self.log = {int(path.rsplit("/", 1)[1][:20]): json.loads(text) for text, path in found.items() if text.strip()}
         self.version, self.buckets = max(numbers), self.log[0]["buckets"]
         spark = self.spark
         if not spark.catalog.tableExists(self.name):
