@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +16,8 @@ from .common import prepare
 
 #: Lines of a window, and the text outside of links that a window needs for a surge (less if no window has it).
 LINES, SURGE = 3, 60
-#: Regions of text below this share of the longest are left out.
+#: On a page with an article or main element, which element is the article: regions below this share of the heaviest are
+#: other things (teasers, notices). On other pages every region stays.
 SHARE = 0.25
 #: On a page with an article or main element, text outside of it weighs this part of its length.
 OUTSIDE = 0.25
@@ -35,6 +37,10 @@ _MARKS = frozenset(
 )
 #: Words that may stand beside a mark: ``site-footer`` is marked, ``with-sidebar`` and ``share-price`` are not.
 _NEUTRAL = frozenset("site main page top bottom left right upper lower inner outer box bar block area section container wrapper wrap list item link links holder panel unit slot global primary secondary 1 2 3 4 5".split())
+#: Words for reader comments, which mark beside any other word (``post-comments``) but those that state how a page takes them.
+_COMMENT, _STATE = frozenset("comment comments commentlist".split()), frozenset("has no with without open closed enabled disabled".split())
+#: Words that ``related`` marks together with: ``related-posts`` is marked, ``related-work`` is not.
+_RELATED = frozenset("post posts article articles story stories news reading content contents topic topics product products video videos more".split())
 #: Elements that end an open paragraph, and the elements whose start ends their like up to the nearest of some others.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -82,9 +88,11 @@ def _aside(name: str, attributes: str, inside: bool) -> bool:
     marks = set()
     for token in _labels(attributes):
         words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
-        if words and all(w in _MARKS or w in _NEUTRAL for w in words):
+        if words and all(w in _MARKS or w in _NEUTRAL or w in _RELATED and "related" in words for w in words):
             marks.update(w for w in words if w in _MARKS)
-    return bool(marks & {"comment", "comments", "ad", "ads", "advert"} if name in _MAIN else marks)
+        elif not _STATE.intersection(words):
+            marks.update(_COMMENT.intersection(words))
+    return bool(marks & (_COMMENT | {"ad", "ads", "advert"}) if name in _MAIN else marks)
 
 
 def _labels(attributes: str) -> set[str]:
@@ -93,22 +101,34 @@ def _labels(attributes: str) -> set[str]:
     return {w for m in _LABEL.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split()}
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """Lines of a page without markup: (text, length outside of links, number of the article or main element it is in or 0).
+class Line(NamedTuple):
+    """A line without markup; article and form are the numbers of those it is in, or 0; title: it is an h1."""
 
-    Elements that are no part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) leave an empty line.
+    text: str
+    free: int  # length outside of links
+    article: int
+    form: int = 0
+    title: bool = False
+
+
+def lines(page: str, wrappers: frozenset[int] | None = frozenset()) -> list[Line]:
+    """Lines of a page.
+
+    Elements that are no part of an article (menus, headers, footers, sidebars, notices, adverts, forms, comments) leave
+    an empty line. Forms numbered in ``wrappers`` count as plain elements; with None all do.
     """
     out, parts, opened = [], [], _Open()
     skip, main, number = -1, -1, 0  # depths at which an element that is left out, and an article, begin
+    form, inside, forms, title = -1, 0, 0, False  # depth and number of the form around, forms seen
     links = outside = 0
 
     def end_line() -> None:
-        nonlocal outside
+        nonlocal outside, title
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, min(len(text), outside)), number if main >= 0 else 0))
+            out.append(Line(text, max(0, min(len(text), outside)), number if main >= 0 else 0, inside, title))
         parts.clear()
-        outside = 0
+        outside, title = 0, False
 
     def add(raw: str) -> None:
         nonlocal outside
@@ -119,12 +139,15 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 outside += len(text.strip())
 
     def shrunk() -> None:
-        nonlocal skip, main
+        nonlocal skip, main, form, inside
         if skip >= len(opened.names):
             skip = -1
         if main >= len(opened.names):
             end_line()
             main = -1
+        if form >= len(opened.names):
+            end_line()
+            form, inside = -1, 0
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -143,12 +166,16 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         opened.start(name)
         shrunk()
+        title = skip < 0 and (title or name == "h1")
+        forms += name == "form"
         if name in _VOID or m[4].rstrip().endswith("/"):
             continue
-        if skip < 0 and _aside(name, m[4], main >= 0):
+        if skip < 0 and name == "form" and (wrappers is None or forms in wrappers):
+            form, inside = (form, inside) if inside else (len(opened.names), forms)
+        elif skip < 0 and _aside(name, m[4], main >= 0):
             end_line()
             skip, links = len(opened.names), 0
-            out.append(("", 0, number if main >= 0 else 0))
+            out.append(Line("", 0, number if main >= 0 else 0))
         elif skip < 0 and main < 0 and (name in _MAIN or "main" in _labels(m[4]) and re.search(r"role\s*=\s*[\"']?main\b", m[4], re.I)):
             main, number = len(opened.names), number + 1
         opened.push(name)
@@ -157,23 +184,36 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def distribution(found: list[tuple[str, int, int]]) -> np.ndarray:
+def wrapping_forms(page: str) -> frozenset[int]:
+    """The form that holds more than half of the page's running text (lines of ``SURGE`` and more outside of links).
+
+    Such a form is put around a page, not asked in it. Without running text there is none.
+    """
+    if "<form" not in page.lower():
+        return frozenset()
+    held: dict[int, int] = defaultdict(int)
+    for line in lines(page, None):
+        held[line.form] += line.free if line.free >= SURGE else 0
+    return frozenset(n for n, size in held.items() if n and 2 * size > sum(held.values()))
+
+
+def distribution(found: list[Line]) -> np.ndarray:
     """Weights of the lines, with gaps of empty lines around each article or main element; -1 stands for a gap.
 
     Outside of such elements a line weighs its text outside of links, on a page that has one ``OUTSIDE`` of it. Inside a
     line weighs all its text and at least a surge, so that short lines, empty ones too, don't end a region.
     """
-    marked, out, before = any(n for *_, n in found), [], 0
-    for text, free, n in found:
-        if n != before:
+    marked, out, before = any(x.article for x in found), [], 0
+    for line in found:
+        if line.article != before:
             out += [-1] * LINES
-            before = n
-        out.append(max(SURGE, len(text)) if n else int(free * OUTSIDE) if marked else free)
+            before = line.article
+        out.append(max(SURGE, len(line.text)) if line.article else int(line.free * OUTSIDE) if marked else line.free)
     return np.array(out, np.int64)
 
 
-def regions(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Lines between the surge and dive points of windows: (start, end), those of at least ``SHARE`` of the heaviest."""
+def regions(weight: np.ndarray, share: float = 0.0) -> list[tuple[int, int]]:
+    """Lines between the surge and dive points of windows: (start, end), those of at least ``share`` of the heaviest."""
     size = np.maximum(weight, 0)
     sums = np.convolve(np.concatenate([size, np.zeros(LINES - 1, np.int64)]), np.ones(LINES, np.int64), "valid")
     least, out, start = min(SURGE, max(1, int(sums.max(initial=0)))), [], None
@@ -186,20 +226,38 @@ def regions(weight: np.ndarray) -> list[tuple[int, int]]:
     if start is not None:
         out.append((start, len(size)))
     heavy = [int(size[a:b].sum()) for a, b in out]
-    return [r for r, w in zip(out, heavy) if w >= SHARE * max(heavy)]
+    return [r for r, w in zip(out, heavy) if w >= share * max(heavy)]
+
+
+def headlines(found: list[Line]) -> dict[int, int]:
+    """Of articles without an h1 the line of the last h1 before them that is no link and not in an article: article to line."""
+    titled, out, last = {x.article for x in found if x.title}, {}, None
+    for i, line in enumerate(found):
+        if line.title and not line.article and line.free:
+            last = i
+        elif line.article and last is not None:
+            if line.article not in titled:
+                out[line.article] = last
+            last = None
+    return out
 
 
 def main_text(page: str | None) -> str:
     """Text between the surge and dive points of the lines' lengths, blocks joined by one space.
 
     On every page the windows decide; article and main elements only change what lines weigh. So a long text
-    beside an article element that is a teaser wins, and a short notice beside an article does not.
+    beside an article element that is a teaser wins, and a short notice beside an article does not. The headline
+    beside an article that stays, stays. A form around the page is no aside.
     """
-    found = lines(page or "")
+    page = page or ""
+    found = lines(page, wrapping_forms(page))
     weight = distribution(found)
-    texts = iter(found)
-    placed = [next(texts)[0] if w >= 0 else "" for w in weight.tolist()]
-    return " ".join(t for a, b in regions(weight) for t in placed[a:b] if t)
+    at = np.cumsum(weight >= 0) - 1  # the line of each place that is no gap
+    marked = any(x.article for x in found)
+    kept = {int(at[k]) for a, b in regions(weight, SHARE if marked else 0.0) for k in range(a, b) if weight[k] >= 0}
+    heads = headlines(found)
+    kept |= {heads[found[i].article] for i in kept if found[i].article in heads}
+    return " ".join(found[i].text for i in sorted(kept) if found[i].text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

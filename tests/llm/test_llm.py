@@ -531,7 +531,39 @@ def test_html_marks_and_implied_ends():
     assert html.main_text("<form><p>Name</p></form>") == "" == html.main_text("<table><tr><td class=ad>x</table>")
 
 
-def brute_regions(weight):
+def test_html_comments_and_related():
+    long = " ".join(f"word{i} of the long text." for i in range(40))
+    for label in ("post-comments", "comment-body", "user-comments", "commentlist", "related-posts", "comments"):
+        assert html.main_text(f'<article><p>{long}</p><div class="{label}"><p>A reader says: {long}</p></div></article>') == long, label
+    for label in ("related-work", "post has-comments", "comments-open", "commentary"):
+        assert html.main_text(f'<article><p>{long}</p><div class="{label}"><p>More.</p></div></article>') == f"{long} More.", label
+
+
+def test_html_form_around_a_page():
+    long = " ".join(f"word{i} of the long text." for i in range(40))
+    inner = f'<nav>Menu</nav><h1>Head</h1><p>{long}</p><form class="newsletter"><p>Your address</p></form><p>End of it.</p><div class="footer">(c)</div>'
+    assert html.main_text(f'<body><form id="aspnetForm" method=post><input type=hidden>{inner}</form></body>') == f"Head {long} End of it."
+    assert html.main_text(f"<form><main>{inner}</main></form>") == f"Head {long} End of it."
+    ask = "Please tell us in some words of your own what you think of this site and its pages, if you like."
+    assert html.main_text(f"<body><div><p>{long}</p><form><p>{ask}</p></form></div></body>") == long
+    assert html.main_text(f"<article><p>{long}</p><form><p>{ask}</p><form><p>{ask}</p></form></article>") == long
+
+
+def test_html_keeps_every_region():
+    long = " ".join(f"word{i} of the long text." for i in range(40))
+    tail = "The first sentence of the tail stands here. The second sentence of the tail ends it."
+    links = "".join(f"<p><a href={i}>Read this as well</a></p>" for i in range(4))
+    assert html.main_text(f"<body><div><p>{long}</p>{links}<p>{tail}</p></div></body>") == f"{long} {tail}"
+
+
+def test_html_headline_beside_an_article():
+    long = " ".join(f"word{i} of the long text." for i in range(40))
+    assert html.main_text(f"<body><h1>A <b>head</b></h1><p>By X</p><article><p>{long}</p></article></body>") == f"A head {long}"
+    assert html.main_text(f"<body><h1>Site</h1><article><h1>Head</h1><p>{long}</p></article></body>") == f"Head {long}"
+    assert html.main_text(f"<body><h1><a href=/>Site</a></h1><header><h1>Site</h1></header><article><p>{long}</p></article></body>") == long
+
+
+def brute_regions(weight, share):
     """Windows summed one by one."""
     n = len(weight)
     size = [max(0, w) for w in weight]
@@ -544,7 +576,7 @@ def brute_regions(weight):
             i = j
         i += 1
     heaviest = max((sum(size[a:b]) for a, b in keep), default=0)
-    return [(a, b) for a, b in keep if sum(size[a:b]) >= html.SHARE * heaviest]
+    return [(a, b) for a, b in keep if sum(size[a:b]) >= share * heaviest]
 
 
 def test_html_against_brute_force():
@@ -582,7 +614,7 @@ def test_html_against_brute_force():
             before = m
             weight.append(max(html.SURGE, len(text)) if m else int(free * html.OUTSIDE) if marked else free)
             texts.append(text)
-        assert html.main_text(page) == " ".join(t for a, b in brute_regions(weight) for t in texts[a:b] if t), page
+        assert html.main_text(page) == " ".join(t for a, b in brute_regions(weight, html.SHARE if marked else 0) for t in texts[a:b] if t), page
 
 
 def test_minhash_tiles_one_band(spark):
