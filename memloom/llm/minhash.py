@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import materialize, parallelism, prepare
+from .common import discard, materialize, parallelism, prepare
 from .components import components
 
 #: Words of a shingle, and the least Jaccard similarity of a link as a fraction.
@@ -126,37 +126,70 @@ def _common(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([np.isin(sets[i], sets[j], assume_unique=True).sum() for i, j in zip(p, q)], np.int64)
 
 
-def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
+def likely(g) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs in one tile that are worth comparing, some at a time.
+
+    Such a pair is of different components, its sizes fit, and the tile's bucket is the first one that it shares.
+    """
+    n, comp, tile = g["n"].to_numpy(), g["comp"].to_numpy(), g["tile"].to_numpy()
+    bands = np.stack(g["bands"].to_list())
+    at = int(np.flatnonzero(bands[0] == g["key"].iloc[0])[0])
+    i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+    left, right, least = np.flatnonzero(tile == i), np.flatnonzero(tile == j), g.attrs["least"]
+    for lo in range(0, len(left), 128):
+        x = left[lo : lo + 128]
+        ok = (comp[x, None] != comp[right]) & (least[1] * np.minimum(n[x, None], n[right]) >= least[0] * np.maximum(n[x, None], n[right]))
+        if i == j:
+            ok &= x[:, None] < right
+        p, q = np.nonzero(ok)
+        for k in range(0, len(p), 1 << 16):
+            a, b = x[p[k : k + (1 << 16)]], right[q[k : k + (1 << 16)]]
+            equal = bands[a] == bands[b]
+            first = equal[:, at] & (equal.argmax(1) == at)
+            if first.any():
+                yield a[first], b[first]
+
+
+def deal(members: DataFrame) -> DataFrame:
+    """``members(key, rep, n, comp, bands)`` with the tiles (i, j) that each goes to, and its own block, ``tile``.
+
+    A bucket's largest component needs no comparison inside. Its members and the others, the strays, are each dealt to blocks
+    of about TILE rows; a tile is two blocks of strays, or one of strays and one of the largest component. So a bucket of
+    a million rows with one stray is a thousand tiles with that stray in each.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("key").agg(F.sum("c").alias("every"), F.max(F.struct("c", "comp")).alias("top"))
+    blocks = lambda c: F.ceil(c / TILE).cast("int")
+    sizes = sizes.select("key", F.col("top.comp").alias("top"), blocks(F.col("every") - F.col("top.c")).alias("strays"), blocks(F.col("top.c")).alias("rest"))
+    m, stray, h = members.join(sizes, "key"), F.col("comp") != F.col("top"), F.xxhash64("rep")
+    own = F.when(stray, F.pmod(h, F.col("strays"))).otherwise(F.col("strays") + F.pmod(h, F.col("rest"))).cast("int")
+    meets = F.sequence(F.lit(0), F.col("strays") - 1 + F.when(stray, F.col("rest")).otherwise(F.lit(0)))
+    m = m.where("strays > 0").withColumn("tile", own).withColumn("other", F.explode(meets))
+    return m.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "n", "comp", "bands")
+
+
+def _tiles(members: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Confirmed links between one bucket's rows from different components, as few as join the same rows.
 
-    ``members(key, rep, n, comp, bands, text)``. A bucket is dealt out as tiles of about TILE x TILE rows. A pair is
-    looked at in the first bucket that it shares only, if its sizes fit, and is compared
-    on full sets in its tile; nothing but a spanning forest of links leaves a tile.
+    ``members(key, rep, n, comp, bands)``, ``texts(doc_id, text)``. Tiles are first looked through by sizes and bands; only
+    rows that are in some pair worth comparing get their texts, one a tile, and are compared on
+    full sets there. Nothing but a spanning forest of links leaves a tile.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    m = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    m = m.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "n", "comp", "bands", "text")
-    m = m.repartition(parallelism(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-
-    def likely(g) -> Iterator:
-        n, comp = g["n"].to_numpy(), g["comp"].to_numpy()
-        bands, tile = np.stack(g["bands"].to_list()), g["tile"].to_numpy()
-        at = int(np.flatnonzero(bands[0] == g["key"].iloc[0])[0])
-        same = g["i"].iloc[0] == g["j"].iloc[0]
-        for lo in range(0, len(g), 128):
-            x = slice(lo, lo + 128)
-            ok = (comp[x, None] != comp[None]) & (least[1] * np.minimum(n[x, None], n[None]) >= least[0] * np.maximum(n[x, None], n[None]))
-            ok &= np.arange(lo, min(lo + 128, len(g)))[:, None] < np.arange(len(g))[None]  # rows are in order of rep
-            if not same:
-                ok &= tile[x, None] != tile[None]
-            p, q = np.nonzero(ok)
-            for k in range(0, len(p), 1 << 16):
-                a, b = p[k : k + (1 << 16)] + lo, q[k : k + (1 << 16)]
-                equal = bands[a] == bands[b]
-                first = equal[:, at] & (equal.argmax(1) == at)
-                if first.any():
-                    yield a[first], b[first]
+    sort, order = parallelism(members.sparkSession), ("key", "i", "j", "rep")
+    dealt = deal(members).repartition(sort, "key", "i", "j").sortWithinPartitions(*order)
+
+    def used(g):
+        seen = np.zeros(len(g), bool)
+        for a, b in likely(g):
+            seen[a] = seen[b] = True
+        return g[seen] if seen.any() else None
+
+    def look(frames: Iterator) -> Iterator:
+        yield from (g for g in map(used, _whole(frames, least)) if g is not None)
+
+    found = materialize(dealt.mapInPandas(look, dealt.schema), "tiles")
+    m = found.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select(*found.columns, "text")
+    m = m.repartition(sort, "key", "i", "j").sortWithinPartitions(*order)
 
     def compare(g) -> list[tuple[int, int]]:
         found = list(likely(g))
@@ -188,23 +221,35 @@ def _tiles(members: DataFrame, least: tuple[int, int]) -> DataFrame:
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        rest = None
-        for frame in _ending(frames):
-            if frame is not None:
-                rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if rest is None or rest.empty:
-                continue
-            keys = rest[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            bounds = [0, *cut.tolist(), len(rest)]
-            if frame is not None:
-                bounds.pop()  # the last tile may go on in the next frame
-            out = [link for lo, hi in zip(bounds[:-1], bounds[1:]) if hi - lo > 1 for link in compare(rest.iloc[lo:hi])]
-            rest = rest.iloc[bounds[-1] :] if frame is not None else None
-            if out:
+        for g in _whole(frames, least):
+            if out := compare(g):
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return m.mapInPandas(run, "a long, b long")
+    links = materialize(m.mapInPandas(run, "a long, b long"), "more-links")
+    discard(found)
+    return links
+
+
+def _whole(frames: Iterator, least: tuple[int, int]) -> Iterator:
+    """Tiles of two or more rows out of frames in their order; the last tile of a frame may go on in the next."""
+    import pandas as pd
+
+    rest = None
+    for frame in _ending(frames):
+        if frame is not None:
+            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if rest is None or rest.empty:
+            continue
+        keys = rest[["key", "i", "j"]].to_numpy()
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(rest)]
+        if frame is not None:
+            bounds.pop()
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo > 1:
+                g = rest.iloc[lo:hi]
+                g.attrs["least"] = least
+                yield g
+        rest = rest.iloc[bounds[-1] :] if frame is not None else None
 
 
 def _ending(frames: Iterator) -> Iterator:
@@ -218,8 +263,8 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     1. Documents with equal shingle sets become one representative, the smallest doc_id, before anything is compared.
     2. Every bucket of two or more links its members to its smallest one, a star; links are confirmed on full sets.
     3. Buckets whose members the stars leave in different components may hide a link between two members that the
-       centre isn't like; there the members of different components are compared by their bands and then on full
-       sets, tile by tile. So every pair that shares a band ends in the component it belongs to.
+       centre isn't like; there the members outside of the bucket's largest component are compared with all of other
+       components, by their bands and then on full sets, tile by tile. So every pair that shares a band ends in the component it belongs to.
     Documents without words link with nothing; so do rows with a null doc_id. Rows that share a doc_id are one node.
     """
     spark = docs.sparkSession
@@ -236,14 +281,17 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFram
     fits = least[1] * F.least("n", "hub_n") >= least[0] * F.greatest("n", "hub_n")
     stars = materialize(shared.where((F.col("rep") != F.col("hub")) & fits).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     links = materialize(confirm(stars, texts, least), "links")
+    discard(stars)
     parts = materialize(components(links), "parts")
 
     placed = shared.select("key", "rep", "n").join(parts.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     placed = materialize(placed, "placed")
+    discard(shared, parts)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = placed.join(mixed.hint("merge"), "key").join(reps.select("rep", "bands").hint("merge"), "rep").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
-    more = materialize(_tiles(members, least), "more-links")
+    members = materialize(placed.join(mixed.hint("merge"), "key").join(reps.select("rep", "bands").hint("merge"), "rep"), "members")
+    more = _tiles(members, texts, least)
     final = components(links.union(more))
+    discard(placed, members, texts, links, more)
 
     placed = reps.join(final.toDF("rep", "component_id"), "rep", "left").select(F.col("n").alias("n_shingles"), "s1", "s2", F.coalesce("component_id", "rep").alias("c"))
     out = sig.drop("bands").join(placed, ["n_shingles", "s1", "s2"], "left")

@@ -622,6 +622,39 @@ def test_minhash_tiles_one_band(spark):
     text = " ".join(f"w{i}" for i in range(40))
     for at in (0, 9):
         bands = [[100 * r + b if b != at else 7 for b in range(minhash.BANDS)] for r in (1, 2)]
-        rows = [(7, r, 36, r, bands[r - 1], text) for r in (1, 2)]
-        members = spark.createDataFrame(rows, "key long, rep long, n int, comp long, bands array<long>, text string")
-        assert [tuple(sorted(x[:2])) for x in minhash._tiles(members, minhash.LEAST).collect()] == [(1, 2)]
+        rows = [(7, r, 36, r, bands[r - 1]) for r in (1, 2)]
+        members = spark.createDataFrame(rows, "key long, rep long, n long, comp long, bands array<long>")
+        texts = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        assert [tuple(sorted(x[:2])) for x in minhash._tiles(members, texts, minhash.LEAST).collect()] == [(1, 2)]
+
+
+def test_minhash_tiles_of_a_large_component(spark):
+    """Three strays meet the 5,000 members of one component and each other; these members don't meet among themselves."""
+    bands = [7] + list(range(100, 99 + minhash.BANDS))
+    rows = [(7, r, 36, 1, bands) for r in range(1, 5001)] + [(7, r, 36, r, bands) for r in (6001, 6002, 6003)]
+    members = spark.createDataFrame(rows, "key long, rep long, n long, comp long, bands array<long>")
+    dealt = minhash.deal(members).toPandas()
+    pairs, met = 0, collections.Counter()
+    for (i, j), g in dealt.groupby(["i", "j"]):
+        left, right = g.rep[g.tile == i].tolist(), g.rep[g.tile == j].tolist()
+        if i == j:
+            met.update((a, b) for k, a in enumerate(sorted(left)) for b in sorted(left)[k + 1 :])
+        else:
+            met.update(tuple(sorted((a, b))) for a in left for b in right)
+    comp = {r[1]: r[3] for r in rows}
+    assert len(met) == 3 * 5000 + 3 and set(met.values()) == {1} and all(comp[a] != comp[b] for a, b in met)
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = spark.createDataFrame([(r[1], words if r[1] in (17, 6002) else f"{r[1]} " * 9) for r in rows], "doc_id long, text string")
+    assert [tuple(sorted(x)) for x in minhash._tiles(members, texts, minhash.LEAST).collect()] == [(17, 6002)]
+
+
+def test_minhash_leaves_only_what_its_result_reads(spark, docs):
+    import glob
+
+    from memloom.llm.common import shared_dir
+
+    tables = lambda: {p for p in glob.glob(shared_dir(spark).removeprefix("file:") + "/memloom/*")}
+    before = tables()
+    out = minhash.near_duplicates(docs)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in tables() - before}
+    assert left <= {"signatures", "representatives", "nodes", "edges"} and out.count() == docs.count()
