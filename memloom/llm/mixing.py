@@ -43,6 +43,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", target.alias("target"))
 
 
+def inclusion(classes: DataFrame) -> DataFrame:
+    """``classes(source, k, words, residual)`` with p, the inclusion probability of a document of class k of its source.
+
+    k is the number of binary digits of a document's size. p is proportional to k, at most 1, and such that the expected
+    words of a source, p times the words of each class in sum, are its residual: as many of the largest classes as
+    would come above 1 are certain, and the others share what is left. At most 64 rows a source.
+    """
+    larger = Window.partitionBy("source").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source")
+    c = classes.withColumns({"certain": F.coalesce(F.sum("words").over(larger), F.lit(0)), "kw": F.col("k") * F.col("words")})
+    c = c.withColumns({"kw_left": F.sum("kw").over(every) - F.coalesce(F.sum("kw").over(larger), F.lit(0))})
+    level = F.when(F.col("kw_left") > 0, (F.col("residual") - F.col("certain")) / F.col("kw_left"))
+    # the largest class that isn't certain at its level sets the level for all smaller ones
+    c = c.withColumn("level", level).withColumn("open", F.max(F.when(F.col("level") * F.col("k") < 1, F.struct("k", "level"))).over(every))
+    p = F.when(F.col("residual") <= 0, F.lit(0.0)).when(F.col("open").isNull() | (F.col("k") > F.col("open.k")), F.lit(1.0)).otherwise(F.col("open.level") * F.col("k"))
+    return c.select("source", "k", p.alias("p"))
+
+
 def uniform(doc_id: Column, seed: int) -> Column:
     """A random number in (0, 1) that reruns repeat: 48 bits of an md5."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12)
@@ -54,15 +72,19 @@ def _drawn(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> D
     u = uniform(F.col("doc_id"), seed)
     row = [F.col(f"`{c}`") for c in docs.columns]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"))
-    d = materialize(d.withColumn("odds", u / (1 - u)), "sizes")  # texts are read once
-    sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, most)
+    d = d.withColumn("odds", u / (1 - u)).withColumn("k", F.length(F.bin("size")))
+    d = materialize(d, "sizes")  # texts are read once
+    classes = materialize(d.groupBy("source", "k").agg(F.sum("size").alias("words")), "mix-classes")
+    plan = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.select("source", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("p"))
+    plan = plan.select("source", "source_size", "target", F.floor(ratio).alias("whole"))
     plan = plan.withColumn("residual", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = materialize(plan, "mix-plan")  # a row per source, of a known size: broadcast only while it is small
-    ranked = d.join(plan.withColumnRenamed("source", "of"), d.source.eqNullSafe(F.col("of"))).drop("of")
-    rank = F.when(F.col("p") > 0, F.col("odds") / (F.col("p") / (1 - F.col("p"))))
+    plan = classes.join(plan.withColumnRenamed("source", "of"), classes.source.eqNullSafe(F.col("of"))).drop("of")
+    plan = materialize(plan, "mix-plan")  # a row per source and class, of a known size: broadcast only while it is small
+    odds = inclusion(plan).toDF("of", "of_k", "p")
+    plan = plan.join(odds, plan.source.eqNullSafe(F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k", "words")
+    ranked = d.join(plan.withColumnsRenamed({"source": "of", "k": "of_k"}), d.source.eqNullSafe(F.col("of")) & (F.col("k") == F.col("of_k"))).drop("of", "of_k", "k")
+    rank = F.when(F.col("p") >= 1, F.lit(0.0)).when(F.col("p") > 0, F.col("odds") / (F.col("p") / (1 - F.col("p"))))
     ranked = ranked.withColumn("pareto_rank", rank).drop("odds")
     ranked = ranked.withColumn("bucket", F.floor(F.col("pareto_rank") / (1 + F.col("pareto_rank")) * BUCKETS))  # in the order of ranks, those near 1 in the middle
     filled = ranked.where("pareto_rank IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("residual").alias("residual"))
@@ -76,17 +98,17 @@ def _drawn(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> D
     near = at_cut.withColumn("extra", F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("residual"))
     away = joined.where("cut_bucket IS NULL OR bucket IS NULL OR bucket <> cut_bucket").withColumn("extra", (F.col("residual") > 0) & F.coalesce(F.col("bucket") < F.col("cut_bucket"), F.lit(False)))
     copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
-    return near.unionByName(away).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "pareto_rank", "h1", "h2")
+    return near.unionByName(away).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "pareto_rank", "p", "h1", "h2")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, pareto_rank.
+    """One row per document: doc_id, size, source_size, target, taken, copies, pareto_rank, p.
 
-    With r = target / source_size, every document of a source is certain of floor(r) copies, and has one more with
-    inclusion probability p = r - floor(r). Pareto order sampling ranks documents by u / (1 - u) : p / (1 - p) and takes
-    each source's in the order of these ranks up to the residual words: the sample's size is fixed,
-    in words, to within half a document. p is one for the documents of a source and differs between sources. The rank
-    at which a source is cut is found from counts per bucket of ranks, then exactly inside one
+    With r = target / source_size, every document of a source is certain of floor(r) copies. One more copy goes to some
+    documents for the residual words, target - floor(r) * source_size, with unequal inclusion
+    probabilities p that favour long documents (``inclusion``); where p is 1 that copy is certain too. Pareto order sampling ranks documents by
+    u / (1 - u) : p / (1 - p), certain ones first, and takes each source's in the order of these ranks up to the
+    residual words: the sample's size is fixed, in words, to within half a document. The rank at which a source is cut is found from counts per bucket of ranks, then exactly inside one
     bucket, so a source of any size is never sorted in one task. Empty documents take part with size 0 and count
     nothing. Rows with the same doc_id share u and are cut in order of size and a hash of the row. An empty table gives an empty result.
     """

@@ -26,11 +26,16 @@ w AS (SELECT *, ([1.0, 2.0, 3.0]::DOUBLE[])[(row_number() OVER (ORDER BY source
 o AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS all_w, sum(cap) OVER q - cap AS cap_before, sum(w) OVER q - w AS w_before FROM w WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (total - cap_before) / (all_w - w_before) AS level FROM o),
 t AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT level FROM l WHERE cap > w * level ORDER BY cap / w, source NULLS LAST LIMIT 1)), cap) AS target FROM l),
-r AS (SELECT *, floor(target / source_size)::BIGINT AS whole, target / source_size - floor(target / source_size) AS p FROM t WHERE source_size > 0 UNION ALL SELECT *, 0, 0 FROM t WHERE source_size = 0),
-x AS (SELECT d.doc_id, d.size, CASE WHEN p > 0 THEN d.u / (1 - d.u) / (p / (1 - p)) END AS pareto_rank, r.*, greatest(0, target - whole * source_size) AS residual FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+r AS (SELECT *, greatest(0::DOUBLE, target - whole * source_size) AS residual FROM (SELECT *, floor(target / source_size)::BIGINT AS whole FROM t WHERE source_size > 0 UNION ALL SELECT *, 0 FROM t WHERE source_size = 0)),
+k AS (SELECT source, len(bin(size)) AS k, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+v AS (SELECT r.*, k.k, coalesce(sum(words) OVER b, 0)::BIGINT AS certain, (sum(k.k * words) OVER (PARTITION BY k.source) - coalesce(sum(k.k * words) OVER b, 0))::BIGINT AS kw_left FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source WINDOW b AS (PARTITION BY k.source ORDER BY k.k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, CASE WHEN kw_left > 0 THEN (residual - certain) / kw_left::DOUBLE END AS level FROM v),
+o2 AS (SELECT source, max(k) AS open_k, max_by(level, k) AS open_level FROM m WHERE level * k < 1 GROUP BY 1),
+i AS (SELECT m.*, CASE WHEN residual <= 0 THEN 0::DOUBLE WHEN open_k IS NULL OR k > open_k THEN 1::DOUBLE ELSE open_level * k END AS p FROM m LEFT JOIN o2 ON m.source IS NOT DISTINCT FROM o2.source),
+x AS (SELECT d.doc_id, d.size, CASE WHEN p >= 1 THEN 0::DOUBLE WHEN p > 0 THEN d.u / (1 - d.u) / (p / (1 - p)) END AS pareto_rank, i.source, source_size, target, whole, residual, p FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source AND len(bin(d.size)) = i.k),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pareto_rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM x),
 e AS (SELECT *, CASE WHEN residual > 0 AND pareto_rank IS NOT NULL AND upto - size / 2::DOUBLE <= residual AND upto - size < residual THEN 1 ELSE 0 END AS extra FROM c)
-SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken, whole + extra AS copies, pareto_rank FROM e
+SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken, whole + extra AS copies, pareto_rank, p FROM e
 """
 
 NEAR = f"""

@@ -261,6 +261,38 @@ def test_pareto_ranks_select(spark):
             assert r.copies - whole == (upto - r["size"] / 2 <= residual)
 
 
+def brute_inclusion(sizes, residual):
+    """p of every document: proportional to the binary digits of its size, the largest capped at 1 one class at a time."""
+    certain = set()
+    while True:
+        rest = [n for n in sizes if n.bit_length() not in certain]
+        level = (residual - sum(n for n in sizes if n.bit_length() in certain)) / max(1, sum(n * n.bit_length() for n in rest))
+        over = [n.bit_length() for n in rest if level * n.bit_length() >= 1]
+        if not over:
+            return [1.0 if n.bit_length() in certain else level * n.bit_length() for n in sizes]
+        certain.add(max(over))
+
+
+def test_pareto_probabilities_are_unequal(spark):
+    """Expected words equal the residual, and dividing by the odds changes the order inside a source."""
+    rnd = random.Random(2)
+    rows = [(i, "w " * rnd.choice((1, 3, 9, 40, 200)), "abcd"[i % 4 if i % 3 else 3]) for i in range(900)] + [(1000 + i, "w " * 3000, "e") for i in range(2)] + [(1010 + i, "w", "e") for i in range(40)]
+    source = {i: s for i, _, s in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing.uniform(F.col("doc_id"), 7).alias("u")).collect()}
+    got = collections.defaultdict(list)
+    for r in mixing.mix(df).collect():
+        got[source[r.doc_id]].append(r)
+    changed = 0
+    for rs in got.values():
+        residual = rs[0].target - math.floor(rs[0].target / rs[0].source_size) * rs[0].source_size
+        assert sum(r.p * r["size"] for r in rs) == pytest.approx(residual)
+        assert [r.p for r in rs] == pytest.approx(brute_inclusion([r["size"] for r in rs], residual))
+        ranked = [r for r in rs if 0 < r.p < 1]
+        changed += sorted(ranked, key=lambda r: r.pareto_rank) != sorted(ranked, key=lambda r: u[r.doc_id])
+    assert changed >= 3
+
+
 def test_mix_caps_and_empty_sources(spark):
     df = spark.createDataFrame([(1, "a b", "a"), (2, "w " * 500, "b"), (3, None, "c"), (4, "x " * 9, None), (5, "y " * 40, "d")], "doc_id long, text string, source string")
     got = rows_of(mixing.mix(df))
