@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpointed
 
 
 def _overlap(pred: Column, ref: Column) -> Column:
@@ -76,9 +77,13 @@ def score_summary(records: DataFrame, metrics: list[str] | None = None) -> DataF
 
 
 def row_numbers(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with a global number rn from 0 and their total, numbered range by range: no task sees all rows."""
+    """Rows with a global number rn from 0 and their total, numbered range by range: no task sees all rows.
+
+    Ranges are drawn from a sample and may be merged as they are read, so they are written once: counts and numbers must see the same ones.
+    """
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
     ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
+    ranged = checkpointed(ranged)
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     return ranged.join(before, "part").withColumn("rn", F.col("before") + F.col("at")).drop("part", "at", "before")
