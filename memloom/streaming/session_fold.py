@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.udfs import similarity, token_set
+from ..functions.udfs import similarity_from, token_set
 
 OUT = "user_id string, session long, id string, text string, event string"
 STATE = "next long, memory string, waiting string"
@@ -22,7 +22,7 @@ STATE = "next long, memory string, waiting string"
 def fold_session(memory: list[dict], facts: list[dict], same: float = 0.92, related: float = 0.70) -> list[dict]:
     """Apply one session's facts to a memory in place, one fact after the other; returns its operations.
 
-    Within a session decisions are taken against the memory that it began with.
+    Within a session decisions are taken against the memory that it began with. Similarities below both bounds decide nothing and aren't worked out.
     """
     start = [dict(m) for m in memory]
     known = {m["text"].strip().lower() for m in start}
@@ -31,7 +31,7 @@ def fold_session(memory: list[dict], facts: list[dict], same: float = 0.92, rela
         text = (fact["text"] or "").strip()
         if not text or text.lower() in known:
             continue
-        scored = [(similarity(text, m["text"]), -i) for i, m in enumerate(start)]
+        scored = [(similarity_from(min(same, related), text, m["text"]), -i) for i, m in enumerate(start)]
         score, place = max(scored, default=(0.0, 0))
         if score >= same:
             continue
