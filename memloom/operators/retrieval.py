@@ -27,7 +27,7 @@ def bm25_statistics(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become EPSILON times the mean idf of the user's vocabulary.
     """
-    tokens = memories.select("user_id", "key", T.content_tokens(F.col("text")).alias("tokens"))
+    tokens = checkpointed(memories.select("user_id", "key", T.content_tokens(F.col("text")).alias("tokens")))
     corpus = tokens.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
     tf = tokens.select("user_id", "key", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("term"))
     tf = tf.groupBy("user_id", "key", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
@@ -113,7 +113,9 @@ def hybrid_recall(questions: DataFrame, memories: DataFrame, k: int, recall_k: i
     sparse, dense = bm25_topk(questions, memories, deep), cosine_topk(questions, memories, deep)
     fused = checkpointed(top_k(rrf([sparse, dense], rrf_k), ["user_id", "qid"], [F.round("rrf", 12).desc(), F.col("key")], k))
     missed = questions.join(fused.select("user_id", "qid").distinct(), ["user_id", "qid"], "left_anti")
-    spare = lexical_topk(missed, memories, k).select("user_id", "qid", "key", F.lit(0.0).alias("rrf"), "rank")
+    missed = checkpointed(missed.select("user_id", "qid", "text"))  # only their users' memories are cut into words
+    theirs = memories.select("user_id", "key", "text").join(missed.select("user_id").distinct(), "user_id", "left_semi")
+    spare = lexical_topk(missed, theirs, k).select("user_id", "qid", "key", F.lit(0.0).alias("rrf"), "rank")
     return fused.select("user_id", "qid", "key", "rrf", "rank").unionByName(spare)
 
 
