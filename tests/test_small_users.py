@@ -1,0 +1,25 @@
+"""Many small users are counted together, with the same results as one by one."""
+
+import random
+
+from memloom.operators import alike
+from memloom.operators import memory as M
+
+
+def test_small_users_share_a_group(spark, monkeypatch):
+    rng = random.Random(4)
+    words = "a b c d e f g h".split()
+    some = lambda: " ".join(rng.sample(words, rng.randint(1, 8)))
+    facts = [(f"u{u}" if u else None, i, some()) for u in range(40) for i in range(rng.randint(0, 5))]
+    old = [(f"u{u}" if u else None, i, some()) for u in range(40) for i in range(rng.randint(0, 5))]
+    want = {}
+    for u, i, t in facts:
+        score = [(len(set(t.split()) & set(x.split())) / len(set(t.split()) | set(x.split())), -p) for v, p, x in old if v == u and u is not None]
+        if score and max(score)[0] >= 0.7:
+            want[u, i] = (max(score)[0], -max(score)[1])
+    f, o = spark.createDataFrame(facts, "user_id string, arrival long, fact string"), spark.createDataFrame(old, "user_id string, pos long, text string")
+    for small in (alike.SMALL, 20, -1):
+        monkeypatch.setattr(alike, "SMALL", small)
+        assert {(r.user_id, r.arrival): (r.score, r.pos) for r in M.related(f, o).collect()} == want and len(want) > 10
+    plan = M.related(f, o)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow [g" in plan
