@@ -3,7 +3,7 @@
 In a text of 200 letters or more difflib starts matches only at its rare letters (those up to its hundredth part and one) and then
 lengthens them, or at the start of both texts. So there are at most as many matches as rare letters and one, and of a match of n letters all
 n - q + 1 runs of q letters are in both texts: the letters matched are at most the runs shared and q - 1 a match. Runs are counted through
-posting lists. For shorter memories, and such as have too many rare letters, the letters and their longest common subsequence bound the ratio.
+posting lists, without the most frequent ones of a memory, which count as shared; pairs that are left are bounded by all their runs. For shorter memories, and such as have too many rare letters, the letters and their longest common subsequence bound the ratio.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from .alike import _blocks, _spread
 
 #: What cleaned texts are made of.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789'\\ "
-#: Lengths of runs that are tried, the longest first; they fit 64 bits.
-RUNS = (11, 8, 5)
-#: Letters and rows of a block; letters and rows of memories, letters of facts and shared runs that are held at once.
-BLOCK, BLOCK_ROWS, HELD, HELD_ROWS, ASKED, HITS = 8_000_000, 8192, 4_000_000, 2048, 1_000_000, 4_000_000
+#: Lengths of runs that are tried, the longest first, and the share of a memory's letters that runs must be left to account for.
+RUNS, LEFT = (11, 8, 5), 0.15
+#: Bits of a run's hash at most (runs of one hash count as shared, so bounds hold); factors of the hash.
+BITS, MIX = 24, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
+#: Share of the runs a pair must have in common that may be left out as frequent, and grades of frequency, four to a doubling.
+SPARE, GRADES = 0.75, 96
+#: Letters and rows of a block; letters and rows of memories, letters of facts, shared runs and pairs that are held at once.
+BLOCK, BLOCK_ROWS, HELD, HELD_ROWS, ASKED, HITS, PAIRS = 24_000_000, 16_384, 12_000_000, 8192, 4_000_000, 4_000_000, 1_000_000
 #: From this length difflib leaves frequent letters out.
 LONG = 200
 #: Room for rounding.
@@ -75,26 +79,40 @@ class _Texts:
             self.counts[a : a + n] = np.bincount(owner * (len(LETTERS) + 1) + self.letters[place], minlength=n * (len(LETTERS) + 1)).reshape(n, -1)
 
     def text(self, i: int) -> str:
-        return self.column[int(i)].as_py()
+        return self.column[int(self.row[i])].as_py()
 
-    def runs(self, rows, q: int):
-        """(run, place in ``rows``, how often) of the runs of q letters of some texts, by run and then by place."""
+    def put(self, by):
+        """The texts in another order; ``row`` tells where they were."""
         import numpy as np
 
-        place, owner = _spread(self.at, rows)
-        letters = self.letters[place].astype(np.int64)
-        n = len(letters) - q + 1
+        self.letters, self.size, self.counts, self.row = self.letters[_spread(self.at, by)[0]], self.size[by], self.counts[by], by
+        self.at = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.size)])
+
+    def runs(self, a: int, b: int, q: int, bits: int):
+        """Of the runs of q letters of texts a to b the number of each (so many bits of a hash) and which text it is of, from 0."""
+        import numpy as np
+
+        h, have = self.letters[self.at[a] : self.at[b]].astype(np.uint32), 1
+        n = len(h) - q + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        run = np.zeros(n, np.int64)
-        for k in range(q):
-            run = run * (len(LETTERS) + 1) + letters[k : k + n]
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        while 2 * have <= q:
+            h = h[:-have] * MIX[0] + (h[have:] ^ (h[have:] >> np.uint32(15))) * MIX[1]
+            have *= 2
+        h = (h[:n] * MIX[2] + (h[q - have :][:n] ^ (h[q - have :][:n] >> np.uint32(13)))) * MIX[3]
+        run = ((h ^ (h >> np.uint32(16))) * MIX[1] >> np.uint32(32 - bits)).astype(np.int32)
+        owner = np.repeat(np.arange(b - a, dtype=np.int32), self.size[a:b])
         inside = owner[:n] == owner[q - 1 :]
-        run, owner = run[inside], owner[:n][inside]
-        by = np.argsort(run, kind="stable")
-        run, owner = run[by], owner[by]
-        first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])])) if len(run) else np.zeros(0, np.int64)
-        return run[first], owner[first], np.diff(np.append(first, len(run)))
+        return run[inside], owner[:n][inside]
+
+
+def _counted(run, owner, n: int):
+    """(run, owner, how often), by run and then by owner below n."""
+    import numpy as np
+
+    key = np.sort(run.astype(np.int64) * n + owner)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] // n, key[first] % n, np.diff(np.append(first, len(key)))
 
 
 def _slices(sizes, most: int, rows: int):
@@ -109,77 +127,115 @@ def _slices(sizes, most: int, rows: int):
         a = b
 
 
+def _index(o: _Texts, a: int, b: int, q: int, bits: int, often, spare):
+    """Postings of the runs of memories a to b: (where each run's begin, memory, how often), and how many runs of each memory are left out.
+
+    ``often`` counts the facts' runs. The most frequent of a memory's runs cost most and tell least; they are left out, up to ``spare``.
+    """
+    import numpy as np
+
+    run, owner = o.runs(a, b, q, bits)
+    seen = often[run]
+    run, owner, seen = run[seen > 0], owner[seen > 0], seen[seen > 0]
+    grade = np.minimum((np.log2(seen.astype(np.float32)) * 4).astype(np.int32), GRADES - 1)
+    from_top = np.cumsum(np.bincount(owner * GRADES + grade, minlength=(b - a) * GRADES).reshape(b - a, GRADES)[:, ::-1], 1)
+    cut = (from_top <= spare[:, None]).sum(1)
+    left_out = np.where(cut > 0, from_top[np.arange(b - a), cut - 1], 0)
+    kept = grade < (GRADES - cut)[owner]
+    run, owner, times = _counted(run[kept], owner[kept], b - a)
+    first = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount(run, minlength=1 << bits), out=first[1:])
+    return first, owner, times, left_out
+
+
+def _shared(x, y) -> int:
+    """How many runs two texts share, each as often as in both."""
+    import numpy as np
+
+    (x, n), (y, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.minimum(n, m[at])[y[at] == x].sum())
+
+
 def tile(new, floor, old, pos, least: float):
     """Places of facts and memories, and ratios, of the best memory of each fact that reaches its floor; of equal ratios, that of the smallest pos."""
     import numpy as np
 
     f, o = _Texts(new), _Texts(old)
     reach = least / (2 - least)
-    ask, have = (np.flatnonzero(t.size > 0) for t in (f, o))
-    ask, have = ask[np.argsort(f.size[ask], kind="stable")], have[np.argsort(o.size[have], kind="stable")]
-    rare = np.where(o.counts <= (o.size // 100 + 1)[:, None], o.counts, 0).sum(1)
+    rare = np.where(o.counts <= (o.size // 100 + 1)[:, None], o.counts, 0)
     kind = np.zeros(len(o.size), np.int64)
     for q in reversed(RUNS):
-        kind[(o.size >= LONG) & ((q - 1) * (rare + 1) <= o.size * reach / 2)] = q
-    best, found = np.maximum(floor, least), {}
-
-    def compare(i, js, bounds):
+        kind[(o.size >= LONG) & (o.size * reach - (q - 1) * (rare.sum(1) + 1) >= o.size * LEFT)] = q
+    order = np.lexsort((o.size, -kind))
+    o.put(order[o.size[order] > 0])
+    order = np.argsort(f.size, kind="stable")
+    f.put(order[f.size[order] > 0])
+    kind, rare, pos, best, found = kind[o.row], rare[o.row], np.asarray(pos)[o.row], np.maximum(floor, least)[f.row], {}
+    if not len(f.size) or not len(o.size):
+        return [], [], []
+    matches = rare.sum(1) + 1
+    bits = int(np.clip(np.ceil(np.log2(4 * max(len(f.letters), len(o.letters)))), 10, BITS))
+
+    def compare(i, js, bounds, q):
         """Take the memories ``js`` of fact ``i``, those of the highest bounds first, until none can be as good as the best."""
-        a = f.text(i)
+        a, runs = f.text(i), f.runs(i, i + 1, q, BITS)[0] if q else None
         for k in np.argsort(-bounds, kind="stable"):
-            j, b = js[k], None
             if bounds[k] < best[i] - TIE:
                 break
+            j = js[k]
             b = o.text(j)
             need = math.ceil(best[i] * (len(a) + len(b)) / 2 - TIE)
-            if not kind[j] and udfs.common_letters(a, b, need) < need:
+            if q:
+                most = (q - 1) * (int(np.minimum(f.counts[i], rare[j])[rare[j] > 0].sum()) + 1)
+                if most < need and most + _shared(runs, o.runs(j, j + 1, q, BITS)[0]) < need:
+                    continue
+            elif udfs.common_letters(a, b, need) < need:
                 continue
             score = ratio_from(a, b, need)
             if score >= best[i] and (score, -pos[j]) > found.get(i, (0.0, 0, 0))[:2]:
                 best[i], found[i] = score, (score, -pos[j], j)
 
-    for q in sorted(set(kind[have].tolist()), reverse=True):
-        mine = have[kind[have] == q]
-        asked = [(ask[a:b], f.runs(ask[a:b], q) if q else None) for a, b in _slices(f.size[ask], ASKED, HELD_ROWS)]
+    for q in sorted(set(kind.tolist()), reverse=True):
+        mine = np.flatnonzero(kind == q)
         for a, b in _slices(o.size[mine], HELD, HELD_ROWS):
-            cols = mine[a:b]
-            if q:
-                run, owner, times = o.runs(cols, q)
-                words, first = np.unique(run, return_index=True)
-                first = np.append(first, len(run))
-            for rows, some in asked:
-                if f.size[rows[-1]] < reach * o.size[cols[0]] - TIE or o.size[cols[-1]] < reach * f.size[rows[0]] - TIE:
-                    continue
-                if not q:
-                    for i in rows:
-                        fits = np.minimum(f.counts[i], o.counts[cols]).sum(1) * 2 / (f.size[i] + o.size[cols])
-                        at = np.flatnonzero(fits >= best[i] - TIE)
-                        if len(at):
-                            compare(i, cols[at], fits[at])
-                    continue
-                if not len(words) or not len(some[0]):
-                    place = hit = np.zeros(0, np.int64)
-                else:
-                    place = np.minimum(np.searchsorted(words, some[0]), len(words) - 1)
-                    hit = np.flatnonzero(words[place] == some[0])
-                hit = hit[np.argsort(some[1][hit], kind="stable")]
-                word, who, often = place[hit], some[1][hit], some[2][hit]
-                begin = np.searchsorted(who, np.arange(len(rows) + 1))
-                work = np.concatenate([[0], np.cumsum(first[word + 1] - first[word])])[begin]
-                for x, y in _slices(np.diff(work), HITS, HELD_ROWS):
-                    part = slice(begin[x], begin[y])
-                    at, which = _spread(first, word[part])
-                    cell = (who[part][which] - x) * len(cols) + owner[at]
-                    shared = np.bincount(cell, np.minimum(often[part][which], times[at]), (y - x) * len(cols)).reshape(y - x, len(cols))
-                    both = f.size[rows[x:y]][:, None] + o.size[cols][None, :]
-                    most = np.minimum(shared + (q - 1) * (rare[cols] + 1), np.minimum(f.size[rows[x:y]][:, None], o.size[cols][None, :])) * 2 / both
-                    good_row, good = np.nonzero(most >= best[rows[x:y]][:, None] - TIE)
-                    ends = np.searchsorted(good_row, np.arange(y - x + 1))
-                    for r in np.unique(good_row):
-                        js = good[ends[r] : ends[r + 1]]
-                        fits = np.minimum(most[r, js], np.minimum(f.counts[rows[x + r]], o.counts[cols[js]]).sum(1) * 2 / both[r, js])
-                        compare(rows[x + r], cols[js], fits)
-    return list(found), [j for _, _, j in found.values()], [s for s, _, _ in found.values()]
+            a, b = a + mine[0], b + mine[0]
+            low, high = np.searchsorted(f.size, reach * o.size[a] - TIE), np.searchsorted(f.size, o.size[b - 1] / reach + TIE, "right")
+            asked = [(x + low, y + low) for x, y in _slices(f.size[low:high], ASKED, HELD_ROWS)]
+            if not q:
+                for i in range(low, high):
+                    fits = np.minimum(f.counts[i], o.counts[a:b]).sum(1) * 2 / (f.size[i] + o.size[a:b])
+                    at = np.flatnonzero(fits >= best[i] - TIE)
+                    if len(at):
+                        compare(i, a + at, fits[at], q)
+                continue
+            often = np.zeros(1 << bits, np.int32)
+            for x, y in _slices(f.size[low:high], HELD, HELD_ROWS):
+                often += np.bincount(f.runs(x + low, y + low, q, bits)[0], minlength=1 << bits).astype(np.int32)
+            first, owner, times, left_out = _index(o, a, b, q, bits, often, (o.size[a:b] * reach - (q - 1) * matches[a:b]) * SPARE)
+            free = left_out + (q - 1) * matches[a:b]
+            lowest = o.size[a:b] * reach - free - TIE
+            for x, y in asked:
+                run, who = f.runs(x, y, q, bits)
+                known = first[run + 1] > first[run]
+                who, run, many = _counted(who[known], run[known], 1 << bits)
+                begin = np.searchsorted(who, np.arange(y - x + 1))
+                work = np.concatenate([[0], np.cumsum(first[run + 1] - first[run], dtype=np.int64)])[begin]
+                for u, v in _slices(np.diff(work), HITS, max(PAIRS // (b - a), 1)):
+                    part = slice(begin[u], begin[v])
+                    at, which = _spread(first, run[part])
+                    cell = (who[part][which] - u) * (b - a) + owner[at]
+                    shared = np.bincount(cell, np.minimum(many[part][which], times[at]), (v - u) * (b - a)).reshape(v - u, b - a)
+                    r, j = np.nonzero(shared >= lowest)
+                    i = x + u + r
+                    both = f.size[i] + o.size[a + j]
+                    most = np.minimum(shared[r, j] + free[j], np.minimum(f.counts[i], o.counts[a + j]).sum(1)) * 2 / both
+                    good = np.flatnonzero(most >= best[i] - TIE)
+                    i, j, most = i[good], j[good], most[good]
+                    ends = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+                    for s, e in zip(ends[:-1], ends[1:]):
+                        compare(i[s], a + j[s:e], most[s:e], q)
+    return [f.row[i] for i in found], [o.row[j] for _, _, j in found.values()], [s for s, _, _ in found.values()]
 
 
 @lru_cache(256)

@@ -70,3 +70,27 @@ def test_pairs_of_texts_are_no_rows(spark, monkeypatch):
     assert sorted(many.collect()) == one
     plan = many._jdf.queryExecution().explainString(many.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "FlatMapCoGroupsInArrow" in plan and "Cartesian" not in plan and "step" not in plan
+
+
+def test_frequent_runs_are_not_followed(monkeypatch):
+    """Runs that most texts share tell least and cost most: pairs are bounded without their postings."""
+    rng = random.Random(10)
+    common = [text(rng, 2) for _ in range(6)]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.3 else text(rng, 1) for _ in range(120))
+    old = [prose() for _ in range(150)]
+    new = [t + " " + text(rng, 5) for t in old[:30]] + [prose() for _ in range(120)]
+    followed, spread = [], S._spread
+    monkeypatch.setattr(S, "_spread", lambda at, rows: followed.append(int((at[rows + 1] - at[rows]).sum())) or spread(at, rows))
+    got = S.tile(pa.chunked_array([new]), np.full(len(new), 0.7), pa.chunked_array([old]), np.arange(len(old)), 0.7)
+    ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old)]
+    assert sorted(zip(*got)) == [(i, i, r) for i, r in enumerate(ratios) if r >= 0.7] and len(got[0]) > 10
+    texts = sum(map(len, new + old))
+    assert sum(followed) < 3 * texts
+
+
+def test_texts_without_pairs_have_no_rows():
+    """Empty texts on either side, and texts of one letter."""
+    none = pa.chunked_array([["", "a"]])
+    assert S.tile(none, np.full(2, 0.7), pa.chunked_array([["", ""]]), np.arange(2), 0.7) == ([], [], [])
+    got = S.tile(none, np.full(2, 0.7), pa.chunked_array([["b", "a"]]), np.arange(2), 0.7)
+    assert [list(map(int, got[0])), list(map(int, got[1])), got[2]] == [[1], [1], [1.0]]
